@@ -38,7 +38,7 @@ def asof_fill(
 
 
 def _union_fill(left, steps, ts, step_ts, columns, keys, tolerance_hours, chunk_days) -> DataFrame:
-    step = F.struct(F.col(step_ts).cast("timestamp_ntz").alias("at"), *[F.col(c) for c in columns])
+    step = F.struct(F.col(step_ts).cast("timestamp_ntz").alias("_step_ts"), *[F.col(c) for c in columns])
     row = F.struct(*[F.col(c) for c in left.columns])
     mark = steps.select(*keys, F.col(step_ts).cast("timestamp_ntz").alias("_t"), F.lit(0).alias("_side"), step.alias("_step"))
     ask = left.select(*keys, F.col(ts).cast("timestamp_ntz").alias("_t"), F.lit(1).alias("_side"), row.alias("_row"))
@@ -50,7 +50,7 @@ def _union_fill(left, steps, ts, step_ts, columns, keys, tolerance_hours, chunk_
     both = scan_series(both, keys or ["_all"], "_chunk", ["_t", "_side"], ffill={"_hit": F.col("_step")})
     fresh = F.lit(True)
     if tolerance_hours is not None:
-        fresh = tp.hours_between(F.col("_t"), F.col("_hit.at")) < tolerance_hours
+        fresh = tp.hours_between(F.col("_t"), F.col("_hit._step_ts")) < tolerance_hours
     value = lambda c: F.when(fresh, F.col("_hit")[c]).alias(c)
     return both.where(F.col("_side") == 1).select("_row.*", *[value(c) for c in columns])
 

@@ -105,7 +105,7 @@ def exceedance_scores(
 
 def anomaly_scores(
     pred: DataFrame, series: DataFrame, keys: Sequence[str], ts: str, value: str, train: Column,
-    methods: Mapping[str, str], fixed: DataFrame | None = None, prob: float = 0.95,
+    methods: Mapping[str, str], horizons: Sequence[int], fixed: DataFrame | None = None, prob: float = 0.95,
     hours: int = 24, min_obs: int = 12,
 ) -> DataFrame:
     """Scores against thresholds taken from each series itself.
@@ -119,11 +119,9 @@ def anomaly_scores(
     series = series.select(*keys, ts, value)
     level = exact_quantiles(series.where(train), keys, F.col(value), {"_p95": prob}).drop("n")
     base = trailing_median(series, keys, ts, value, hours, min_obs, "_base").select(*keys, ts, "_base")
-    horizons = pred.select("horizon").distinct()
     # A base value serves each horizon once: shift it forward and join on the exact time.
-    ahead = base.join(horizons).select(
-        *keys, "horizon", tp.shift_hours(F.col(ts), F.col("horizon")).alias(ts), "_base"
-    )
+    steps = F.array(*[F.lit(int(h)) for h in horizons])
+    ahead = base.withColumn("horizon", F.explode(steps)).withColumn(ts, tp.shift_hours(F.col(ts), F.col("horizon")))
     rise = exact_quantiles(
         series.where(train).join(ahead, [*keys, ts]), [*keys, "horizon"], F.col(value) - F.col("_base"), {"_rise": prob}
     ).drop("n")
