@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words and bracketed remarks taken out of a station name, in this order.
 NAME_REMARKS = ("(bubble)", "(laut)", "(kali)")
@@ -29,7 +30,7 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.nullif(longest, F.lit(0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio of the standard library; Arrow batches, only on candidate pairs."""
     m = difflib.SequenceMatcher(None)

@@ -240,9 +240,10 @@ def w08_longest_missing(spark, sf_dir):
 @query("w15_longest_gaps", """WITH a AS (SELECT user_id, ts AS gap_to, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_from FROM events),
     b AS (SELECT *, date_diff('microsecond', gap_from, gap_to) / 60e6 AS m FROM a WHERE gap_from IS NOT NULL),
     c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY m DESC, gap_from)::INTEGER AS rank FROM b)
-    SELECT user_id, gap_from, gap_to, round(m, 6) AS minutes, rank FROM c WHERE rank <= 5""")
+    SELECT user_id, gap_from, gap_to, round(m * 60e6)::BIGINT AS micros, rank FROM c WHERE rank <= 5""")
 def w15_o02_longest_gaps(spark, sf_dir):
-    return rounded(report.longest_gaps(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id"), "minutes")
+    out = report.longest_gaps(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id")
+    return out.withColumn("micros", F.round(F.col("minutes") * 60e6).cast("long")).drop("minutes")
 
 
 @query("w17_first_per_key", """SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER
