@@ -47,7 +47,7 @@ def r01_coarsen(spark, sf_dir):
     return rounded(cs.coarsen(terrain(spark, sf_dir), 3), "value")
 
 
-@query("r02_slope_aspect", f"""WITH {GRID}, m AS (SELECT max(row) AS rm, max(col) AS cm FROM z),
+SLOPE = f"""{GRID}, m AS (SELECT max(row) AS rm, max(col) AS cm FROM z),
     o AS (SELECT unnest([-1, 0, 1]) AS dr), o2 AS (SELECT unnest([-1, 0, 1]) AS dc),
     t AS (SELECT z.row, z.col, z.value, dr, dc, rm, cm, z.row + dr AS r2, z.col + dc AS c2 FROM z, o, o2, m),
     w AS (SELECT t.row, t.col, t.value, dr, dc,
@@ -59,9 +59,12 @@ def r01_coarsen(spark, sf_dir):
              LEFT JOIN z d ON d.row = r2 AND d.col = t.col LEFT JOIN z e ON e.row = r2 AND e.col = t.col - dc),
     g AS (SELECT row, col, sum(dc * CASE WHEN dr = 0 THEN 2 ELSE 1 END * v) AS dx, sum(dr * CASE WHEN dc = 0 THEN 2 ELSE 1 END * v) AS dy FROM w GROUP BY 1, 2),
     h AS (SELECT *, degrees(atan2(dy, -dx)) AS a FROM g),
-    k AS (SELECT *, CASE WHEN a > 90 THEN 450 - a ELSE 90 - a END AS az FROM h)
-    SELECT row, col, round(degrees(atan(sqrt(dx * dx + dy * dy) / 80)), 6) AS slope_deg,
-           round(CASE WHEN dx = 0 AND dy = 0 THEN NULL WHEN az >= 360 THEN az - 360 ELSE az END, 6) AS aspect FROM k""")
+    k AS (SELECT *, CASE WHEN a > 90 THEN 450 - a ELSE 90 - a END AS az FROM h),
+    sl AS (SELECT row, col, round(degrees(atan(sqrt(dx * dx + dy * dy) / 80)), 6) AS slope_deg,
+           round(CASE WHEN dx = 0 AND dy = 0 THEN NULL WHEN az >= 360 THEN az - 360 ELSE az END, 6) AS aspect FROM k)"""
+
+
+@query("r02_slope_aspect", f"WITH {SLOPE} SELECT * FROM sl")
 def r02_slope_aspect(spark, sf_dir):
     return rounded(cs.slope_aspect(terrain(spark, sf_dir), 10.0, tile=16), "slope_deg", "aspect")
 
@@ -85,13 +88,24 @@ def r04_flow_accumulation(spark, sf_dir):
     return cs.flow_accumulation(cs.flow_direction(terrain(spark, sf_dir), 10.0, tile=16))
 
 
-@query("r05_fill_depressions")
+# Every level at which water can reach the border from a cell; the lowest is the fill.
+FILL = """mx AS (SELECT max(row) AS rm, max(col) AS cm FROM z), st AS (SELECT unnest([-1, 0, 1]) AS d),
+    lv AS (SELECT row, col, value AS lvl FROM z, mx WHERE row IN (0, rm) OR col IN (0, cm)
+      OR EXISTS (SELECT 1 FROM st a, st b WHERE NOT EXISTS (SELECT 1 FROM z q WHERE q.row = z.row + a.d AND q.col = z.col + b.d))
+      UNION SELECT z.row, z.col, greatest(lv.lvl, z.value) FROM lv CROSS JOIN st a CROSS JOIN st b JOIN z ON z.row = lv.row + a.d AND z.col = lv.col + b.d),
+    fi AS (SELECT row, col, min(lvl) AS filled FROM lv GROUP BY 1, 2)"""
+
+
+@query("r05_fill_depressions", f"""WITH RECURSIVE {GRID}, {FILL} SELECT row, col, value, filled, greatest(filled - value, 0)::DOUBLE AS sink_depth
+    FROM z JOIN fi USING (row, col)""")
 def r05_fill_depressions(spark, sf_dir):
-    """Exact fill; iterative, so checked against a priority-queue fill in the tests."""
     return cs.fill_depressions(terrain(spark, sf_dir), tile=16)
 
 
-@query("a25_terrain_stats")
+@query("a25_terrain_stats", f"""WITH RECURSIVE {SLOPE}, {FILL}, a AS (SELECT count(value) AS n_cells, round(quantile_cont(value, 0.01), 6) AS p1,
+      round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM z),
+    b AS (SELECT round(avg((slope_deg < 0.5)::INTEGER) * 100, 6) AS flat_pct FROM sl),
+    c AS (SELECT round(sum(greatest(filled - value, 0)) * 100, 6)::DOUBLE AS sink_volume FROM z JOIN fi USING (row, col)) SELECT * FROM a, b, c""")
 def a25_terrain_stats(spark, sf_dir):
     z = terrain(spark, sf_dir)
     out = cs.terrain_stats(z, cs.slope_aspect(z, 10.0, tile=16), cs.fill_depressions(z, tile=16), 10.0)
@@ -187,9 +201,12 @@ def r10_flood_summary(spark, sf_dir):
     return rounded(cs.flood_summary(mask, land, 0.0001), "flood_km2", "flood_pct")
 
 
-@query("r11_drop_small_blobs")
+@query("r11_drop_small_blobs", f"""WITH RECURSIVE {FLOOD_SQL}, nx(dr, dc) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)),
+    rc AS (SELECT row, col, row::BIGINT * 4294967296 + col AS lab FROM fm
+           UNION SELECT fm.row, fm.col, rc.lab FROM rc CROSS JOIN nx JOIN fm ON fm.row = rc.row + dr AND fm.col = rc.col + dc),
+    bl AS (SELECT row, col, min(lab) AS blob FROM rc GROUP BY 1, 2), n AS (SELECT blob FROM bl GROUP BY 1 HAVING count(*) >= 4)
+    SELECT row, col, blob FROM bl JOIN n USING (blob)""")
 def r11_drop_small_blobs(spark, sf_dir):
-    """Connected blobs are iterative; checked against a flood fill in the tests."""
     return cs.drop_small_blobs(_flood(spark, sf_dir)[0], min_cells=4)
 
 

@@ -49,9 +49,9 @@ def flatten_stations(df: DataFrame) -> DataFrame:
     )
 
 
-def read_pages(spark: SparkSession, path: str, drop: Sequence[str] = ("rn",)) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, drop: Sequence[str] = ("rn",), multi_line: bool = True) -> DataFrame:
     """Landed pages ``{"meta": .., "rows": [..]}`` to one row per record; values stay text, columns may differ."""
-    raw = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+    raw = spark.read.option("multiLine", multi_line).option("primitivesAsString", True).json(path)
     return raw.select(F.explode("rows").alias("r")).select("r.*").drop(*drop)
 
 
@@ -78,9 +78,9 @@ def flatten_reports(df: DataFrame) -> DataFrame:
     )
 
 
-def read_ways(spark: SparkSession, path: str) -> DataFrame:
+def read_ways(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Waterway extract: one row per way with tags and its nodes in order (node, lat, lon)."""
-    raw = spark.read.schema(WAY_SCHEMA).option("multiLine", True).json(path)
+    raw = spark.read.schema(WAY_SCHEMA).option("multiLine", multi_line).json(path)
     e = raw.select(F.posexplode("elements").alias("way_order", "e")).where(F.col("e.type") == "way")
     return e.select(
         "way_order",

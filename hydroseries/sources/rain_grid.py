@@ -16,14 +16,20 @@ TOP, LEFT, STEP = 59.95, 0.05, 0.1
 CELLS = "ts timestamp, lat double, lon double, mm double"
 
 
-def read_hourly_grids(
-    spark: SparkSession, path: str, box: tuple[float, float, float, float],
+def read_hourly_grids(spark: SparkSession, path: str, box: tuple[float, float, float, float], **how) -> DataFrame:
+    """Landed grid files of a folder or glob as cells, see ``decode_hourly_grids``."""
+    return decode_hourly_grids(spark.read.format("binaryFile").load(path).select("path", "content"), box, **how)
+
+
+def decode_hourly_grids(
+    files: DataFrame, box: tuple[float, float, float, float],
     name_pattern: str = r"(\d{8})[._]?(\d{4})", shape: tuple[int, int] = (N_LAT, N_LON),
 ) -> DataFrame:
     """Gzipped little-endian float32 grids, one hour per file, cut to ``box`` (lat_min, lat_max, lon_min, lon_max).
 
     The box is cut while decoding, so only its cells leave the task. Negative values are
     missing; a file that does not decode gives no cells (see ``expected_hours``).
+    ``files`` has path (the hour is in the name) and content.
     """
     n_lat, n_lon = shape
     lat_min, lat_max, lon_min, lon_max = box
@@ -47,7 +53,7 @@ def read_hourly_grids(
 
     name = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
     stamp = F.concat(F.regexp_extract(name, name_pattern, 1), F.regexp_extract(name, name_pattern, 2))
-    files = spark.read.format("binaryFile").load(path).select(
+    files = files.select(
         F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmm")).alias("ts"), "content"
     )
     cells = files.mapInPandas(decode, CELLS)
