@@ -10,6 +10,10 @@ that; every ordered operator of the library is made of them.
 * ``scan_series`` - for unbounded reach (previous row, last known value): each chunk is
   scanned on its own, one summary row per chunk carries state over chunk borders. The
   summaries are the only thing windowed per series (one row per chunk).
+
+Both repartition explicitly by series and chunk. Without that the planner would accept
+rows that an earlier step left partitioned by series alone, as this also clusters them by
+series and chunk, and a whole series would be back in one task.
 """
 
 from __future__ import annotations
@@ -44,6 +48,7 @@ def scan_series(
     ``chunk`` must be non-decreasing along ``order``; ``order`` must be free of ties.
     """
     keys, order = list(keys), list(order)
+    df = df.repartition(*keys, chunk)
     groups = [("p", prev or {}), ("n", next or {}), ("f", ffill or {}), ("b", bfill or {})]
     up = Window.partitionBy(*keys, chunk).orderBy(*_ordered(order))
     down = Window.partitionBy(*keys, chunk).orderBy(*_ordered(order, True))
@@ -94,6 +99,7 @@ def scan_series(
 def with_position(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], out: str = "pos") -> DataFrame:
     """Zero-based row number along each series: row number in the chunk plus rows of earlier chunks."""
     keys, order = list(keys), list(order)
+    df = df.repartition(*keys, chunk)
     sizes = df.groupBy(*keys, chunk).agg(F.count("*").alias("_n"))
     run = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*keys, chunk, F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_base"))
@@ -102,7 +108,9 @@ def with_position(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequenc
     return local.join(sizes, [*keys, chunk], "left").select(*df.columns, (F.col("_base") + F.col("_i")).alias(out))
 
 
-def halo(df: DataFrame, pos: str, before: int = 0, after: int = 0, rows: int = BLOCK_ROWS) -> DataFrame:
+def halo(
+    df: DataFrame, keys: Sequence[str], pos: str, before: int = 0, after: int = 0, rows: int = BLOCK_ROWS
+) -> DataFrame:
     """Cut series into blocks of ``rows`` positions; border rows are repeated next door.
 
     Adds ``_block`` and ``_home``; compute over ``partitionBy(keys, "_block")`` and
@@ -119,7 +127,7 @@ def halo(df: DataFrame, pos: str, before: int = 0, after: int = 0, rows: int = B
     if after:
         blocks.append(F.when(offset < after, home - 1))
     wide = df.withColumn("_block", F.explode(F.array_compact(F.array(*blocks))))
-    return wide.withColumn("_home", F.col("_block") == home)
+    return wide.withColumn("_home", F.col("_block") == home).repartition(*keys, "_block")
 
 
 def in_blocks(
@@ -132,12 +140,24 @@ def in_blocks(
     rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add window columns of bounded reach. ``columns`` maps a name to ``f(window) -> Column``."""
-    wide = halo(df, pos, before, after, rows)
+    wide = halo(df, keys, pos, before, after, rows)
     w = Window.partitionBy(*keys, "_block").orderBy(pos)
     out = wide.select("*", *[make(w).alias(name) for name, make in columns.items()])
     return out.where("_home").drop("_block", "_home")
 
 
+def join_per_key(df: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: str, how: str = "left", salts: int = 32) -> DataFrame:
+    """Join with a table of one or few rows per key (thresholds, statistics).
+
+    Rows of a key are dealt out over ``salts`` partitions by the hash of ``spread`` and the
+    small side is repeated for each, so a key that holds a third of all rows does not end
+    in one task. Where the small side is small enough Spark broadcasts it instead.
+    """
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the smallest by ``order``; an aggregate, so copies shrink before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

@@ -91,7 +91,7 @@ def trailing_median(
 ) -> DataFrame:
     """Median of the values in (t - hours, t]; NULL below ``min_obs`` values. Works on irregular times."""
     reach = int(hours) * 3_600_000_000
-    wide = halo(df.withColumn("_us", tp.micros(F.col(ts))), "_us", before=reach, rows=14 * reach)
+    wide = halo(df.withColumn("_us", tp.micros(F.col(ts))), keys, "_us", before=reach, rows=14 * reach)
     w = Window.partitionBy(*keys, "_block").orderBy("_us").rangeBetween(-(reach - 1), 0)
     mid = F.when(F.count(value).over(w) >= min_obs, F.percentile(value, 0.5).over(w))
     return wide.withColumn(out, mid).where("_home").select(*df.columns, out)

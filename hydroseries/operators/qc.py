@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from hydroseries.functions import timeparts as tp
 from hydroseries.functions.cleaning import SENTINELS, holds, is_sentinel, nan_to_null
-from hydroseries.operators.frames import first_per_key
+from hydroseries.operators.frames import first_per_key, join_per_key
 from hydroseries.operators.quantiles import exact_quantiles
 from hydroseries.session import share
 
@@ -68,7 +68,7 @@ def _runs_and_rates(inst: DataFrame, part: Sequence[str], ts: str) -> DataFrame:
         cut = ~holds(here["last"] == after["first"])
         return F.when(~here["same"], here["ts"]).when(after.isNotNull() & cut, here["ts"])
 
-    local = inst.withColumns({"_e": edge}).withColumns(
+    local = inst.withColumns({"_e": edge}).repartition(*part, "_chunk").withColumns(
         {"_p": F.lag("_e").over(up), "_x": F.lead("_e").over(up)}
     )
     local = local.withColumns(
@@ -164,5 +164,5 @@ def point_qc(
         .when(spike, 3)
         .otherwise(0)
     )
-    joined = rows.join(marks, [*part, "_chunk", ts]).join(limits, part, "left")
+    joined = join_per_key(rows.join(marks, [*part, "_chunk", ts]), limits, part, spread=ts)
     return joined.select(*df.columns, flag.cast("tinyint").alias(out))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydroseries.functions import timeparts as tp
-from hydroseries.operators.frames import in_blocks
+from hydroseries.operators.frames import in_blocks, join_per_key
 from hydroseries.operators.quantiles import medians
 from hydroseries.operators.scores import in_windows
 from hydroseries.operators.windows import positioned
@@ -79,7 +79,7 @@ def event_response(
         F.min(F.when(F.col(rain) > 0, at)).alias("_onset"),
     )
     peaks = peaks.where(F.col("_pk").isNotNull()).withColumn("peak_ts", F.col("_pk.ts"))
-    before = rows.join(peaks.select(*part, "peak_ts"), part)
+    before = join_per_key(rows, peaks.select(*part, "peak_ts"), part, ts, "inner")
     recent = at.between(tp.shift_hours(F.col("peak_ts"), -rain_hours), F.col("peak_ts"))
     wet = before.where(recent).groupBy(*part).agg((F.sum(rain) / repeat_factor).alias("rain_before"))
     stats = peaks.join(wet, part, "left").select(
@@ -109,7 +109,7 @@ def class_agreement(response: DataFrame) -> DataFrame:
     )
 
 
-def mean_removed(df: DataFrame, part: Sequence[str], value: str, out: str = "anomaly") -> DataFrame:
+def mean_removed(df: DataFrame, part: Sequence[str], value: str, spread: str, out: str = "anomaly") -> DataFrame:
     """Value minus the mean of its group; an aggregate joined back, so large groups stay spread."""
     mean = df.groupBy(*part).agg(F.avg(value).alias("_mean"))
-    return df.join(mean, list(part)).withColumn(out, F.col(value) - F.col("_mean")).drop("_mean")
+    return join_per_key(df, mean, part, spread).withColumn(out, F.col(value) - F.col("_mean")).drop("_mean")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hydroseries.functions import timeparts as tp
 from hydroseries.functions.cleaning import holds
+from hydroseries.operators.frames import join_per_key
 from hydroseries.operators.harmonize import trailing_median
 from hydroseries.operators.quantiles import exact_quantiles, medians
 
@@ -92,12 +93,12 @@ def confusion_scores(df: DataFrame, by: Sequence[str], obs: Column, methods: Map
 
 def exceedance_scores(
     pred: DataFrame, thresholds: DataFrame, keys: Sequence[str], by: Sequence[str], y: str, methods: Mapping[str, str],
-    threshold: str = "threshold",
+    threshold: str = "threshold", ts: str = "ts",
 ) -> DataFrame:
     """Level x method scores; ``thresholds`` holds keys, level columns and the threshold."""
     levels = [c for c in thresholds.columns if c not in keys and c != threshold]
     t = F.col(threshold)
-    rows = pred.join(thresholds, list(keys))
+    rows = join_per_key(pred, thresholds, keys, spread=ts, how="inner")
     return confusion_scores(
         rows, [*keys, *by, *levels], F.col(y) >= t, {m: F.col(c) >= t for m, c in methods.items()}
     )
@@ -125,12 +126,11 @@ def anomaly_scores(
     rise = exact_quantiles(
         series.where(train).join(ahead, [*keys, ts]), [*keys, "horizon"], F.col(value) - F.col("_base"), {"_rise": prob}
     ).drop("n")
-    rows = (
-        pred.join(ahead, [*keys, "horizon", ts], "left").join(level, keys, "left").join(rise, [*keys, "horizon"], "left")
-    )
+    rows = pred.join(ahead, [*keys, "horizon", ts], "left")
+    rows = join_per_key(join_per_key(rows, level, keys, ts), rise, [*keys, "horizon"], ts)
     tests = {"p95": (F.col("_p95"), F.lit(0.0)), "rise": (F.col("_rise"), F.col("_base"))}
     if fixed is not None:
-        rows = rows.join(fixed.select(*keys, F.col("threshold").alias("_fixed")), keys, "left")
+        rows = join_per_key(rows, fixed.select(*keys, F.col("threshold").alias("_fixed")), keys, ts)
         tests["fixed"] = (F.col("_fixed"), F.lit(0.0))
     y = F.col("y")
     aggs, cells = [], []
@@ -170,7 +170,8 @@ def event_scores(
     """
     keys = list(keys)
     t = F.col("threshold")
-    rows = in_windows(pred.join(thresholds, keys), ts, events.select("event", "start", "end"), pad_days)
+    limited = join_per_key(pred, thresholds, keys, ts, "inner")
+    rows = in_windows(limited, ts, events.select("event", "start", "end"), pad_days)
     scores = confusion_scores(
         rows, ["event", *keys, "horizon"], F.col("y") >= t, {m: F.col(c) >= t for m, c in methods.items()}
     )
@@ -179,7 +180,7 @@ def event_scores(
         .groupBy("event", *keys)
         .agg(F.min(F.when(F.col("y") >= t, F.col(ts))).alias("t_first"))
     )
-    told = pred.join(thresholds, keys).where(F.col(model) >= t).select(*keys, F.col(ts).alias("t_first"), "horizon")
+    told = limited.where(F.col(model) >= t).select(*keys, F.col(ts).alias("t_first"), "horizon")
     in_event = rows.select("event", *keys, "horizon").distinct()
     lead = (
         first.where(F.col("t_first").isNotNull())
@@ -254,6 +255,6 @@ def training_rows(series: DataFrame, overrides: DataFrame, keys: Sequence[str],
     o = overrides.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"))
     own = F.col(ts).between(F.col("_s"), F.col("_e"))
     common = (F.col(ts) >= F.lit(start).cast("timestamp_ntz")) & (F.col(ts) < F.lit(end).cast("timestamp_ntz"))
-    out = series.join(o, list(keys), "left")
+    out = join_per_key(series, o, keys, ts)
     return out.select(*series.columns, F.when(F.col("_s").isNotNull(), own).otherwise(common).alias("is_train"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hydroseries.functions import cleaning as cl
 from hydroseries.functions import timeparts as tp
 from hydroseries.operators import report
-from hydroseries.operators.frames import first_per_key
+from hydroseries.operators.frames import first_per_key, join_per_key
 from hydroseries.operators.quantiles import exact_quantiles, medians
 from hydroseries.operators.response import mean_removed
 from hydroseries.plans.registry import (
@@ -216,7 +216,7 @@ def w04_rate_of_change(spark, sf_dir):
 def w05_outside_quantiles(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     q = exact_quantiles(e, ["event_type"], F.col("value"), {"lo": 0.01, "hi": 0.99})
-    return e.join(q, "event_type").select("event_id", ((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).alias("outside"))
+    return join_per_key(e, q, ["event_type"], "ts").select("event_id", ((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).alias("outside"))
 
 
 @query("w06_centred_median", f"""WITH {hourly_sql('user_id')} SELECT k, ts, round(CASE WHEN count(v) OVER w >= 5 THEN median(v) OVER w END, 6) AS around
@@ -255,5 +255,5 @@ def w17_first_per_key(spark, sf_dir):
 
 @query("w18_mean_removed", "SELECT event_id, round(value - avg(value) OVER (PARTITION BY event_type), 6) AS anomaly FROM events")
 def w18_mean_removed(spark, sf_dir):
-    out = mean_removed(table(spark, sf_dir, "events"), ["event_type"], "value")
+    out = mean_removed(table(spark, sf_dir, "events"), ["event_type"], "value", spread="ts")
     return rounded(out.select("event_id", "anomaly"), "anomaly")
