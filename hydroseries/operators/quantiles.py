@@ -39,13 +39,12 @@ def exact_quantiles(
     """
     keys = list(keys)
     v = value.cast("double")
-    rows = df.select(*keys, v.alias("_v"))
+    rows = df.select(*keys, v.alias("_v")).withColumn("_bin", value_bin(F.col("_v")))
     if total is None:
         rows = rows.where(F.col("_v").isNotNull())
-    hist = (
-        rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c")).withColumn("_bin", value_bin(F.col("_v")))
-    )
-    per_bin = hist.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_b"))
+    # Both counts are folded before they are shuffled; the first is small whatever the data.
+    per_bin = rows.groupBy(*keys, "_bin").agg(F.count("*").alias("_b"))
+    hist = rows.where(F.col("_bin").isNotNull()).groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*keys)
     known = F.when(F.col("_bin").isNotNull(), F.col("_b"))
     per_bin = per_bin.withColumns(
