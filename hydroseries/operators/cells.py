@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hydroseries.functions.cleaning import holds
+from hydroseries.operators.frames import join_per_key
 from hydroseries.operators.graph import connected_components
 from hydroseries.operators.quantiles import exact_quantiles
 from hydroseries.session import cut_lineage
@@ -52,7 +53,7 @@ def stencil(
                        + [f"`{n}` {t}" for n, t in outputs.items()])
     size = tile + 2 * reach
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tr, tc = int(key[-2]), int(key[-1])
         r = pdf["row"].to_numpy() - (tr * tile - reach)
         c = pdf["col"].to_numpy() - (tc * tile - reach)
@@ -267,7 +268,7 @@ def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = ()) ->
     ends = src.groupBy(*key).agg(F.min(value).alias("low"), F.max(value).alias("_hi"))
     width = (F.col("_hi") - F.col("low")) / bins
     at = F.floor((F.col(value) - F.col("low")) / F.nullif(F.col("_hi") - F.col("low"), F.lit(0.0)) * bins)
-    rows = src.join(ends, key).select(
+    rows = join_per_key(src, ends, key, how="inner").select(
         *key, "low", width.alias("width"), F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin")
     )
     out = rows.groupBy(*key, "bin").agg(F.count("*").alias("n"), F.first("low").alias("low"), F.first("width").alias("width"))
@@ -311,7 +312,7 @@ def despeckle(cells: DataFrame, size: int = 5, tile: int = TILE, keys: Sequence[
     key = keys or ["_g"]
     src = cells if keys else cells.withColumn("_g", F.lit(0))
     mid = exact_quantiles(src, key, F.col("value"), {"_mid": 0.5}).select(*key, "_mid")
-    src = src.join(mid, key).select(*key, "row", "col", "value", F.coalesce("value", "_mid").alias("_full"))
+    src = join_per_key(src, mid, key).select(*key, "row", "col", "value", F.coalesce("value", "_mid").alias("_full"))
 
     def compute(v, full, exists):
         rows, cols = np.flatnonzero(exists.any(axis=1)), np.flatnonzero(exists.any(axis=0))
@@ -364,7 +365,7 @@ def drop_small_blobs(mask: DataFrame, min_cells: int = MIN_BLOB, cell_m2: float
     ok = F.col("_n") >= min_cells
     if cell_m2 is not None:
         ok = ok & (F.col("_n") * cell_m2 >= min_m2)
-    return b.join(n.where(ok), "blob").select("row", "col", "blob")
+    return join_per_key(b, n.where(ok), ["blob"], how="inner").select("row", "col", "blob")
 
 
 def flood_summary(mask: DataFrame, land: DataFrame, cell_km2: float, max_pct: float = 30.0, min_km2: float = 0.05) -> DataFrame:

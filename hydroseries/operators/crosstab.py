@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hydroseries.functions import timeparts as tp
 from hydroseries.functions.cleaning import holds, to_number
+from hydroseries.operators.frames import join_per_key
 from hydroseries.operators.quantiles import medians
 from hydroseries.operators.scores import in_windows
 from hydroseries.operators.spatial import points_in_polygons, within_km
@@ -25,7 +26,8 @@ def official_counts(wanted: DataFrame, counts: DataFrame, place: str = "place")
     w = wanted.withColumns(
         {"_p": F.col("period"), "_m": F.col("month"), "_pl": F.lower(place)}
     )
-    out = w.join(periods.withColumn("_known", F.lit(True)), "_p", "left").join(sums, ["_pl", "_p", "_m"], "left")
+    out = join_per_key(w, periods.withColumn("_known", F.lit(True)), ["_p"])
+    out = join_per_key(out, sums, ["_pl", "_p", "_m"])
     known = holds(F.col("_known"))
     return out.select(
         *wanted.columns, known.alias("published"), F.when(known, F.coalesce("_n", F.lit(0))).alias("official_n")
@@ -55,7 +57,7 @@ def event_crosstab(
     # Every combination is a row of the result; events are few, so each station is repeated per event.
     listed = events.agg(F.collect_list(F.struct("event", "start")).alias("_ev"))
     frame = stations.join(F.broadcast(listed)).select(key, "lat", "lon", "threshold", F.inline("_ev"))
-    rows = in_windows(pred.join(stations.select(key, "threshold"), key), ts, events.select("event", "start", "end"), pad_days)
+    rows = in_windows(join_per_key(pred, stations.select(key, "threshold"), [key], ts, "inner"), ts, events.select("event", "start", "end"), pad_days)
     over: Column = F.col("y") >= F.col("threshold")
     told: Column = F.col("yhat") >= F.col("threshold")
     seen = rows.groupBy("event", key).agg(

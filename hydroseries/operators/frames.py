@@ -146,14 +146,18 @@ def in_blocks(
     return out.where("_home").drop("_block", "_home")
 
 
-def join_per_key(df: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: str, how: str = "left", salts: int = 32) -> DataFrame:
+def join_per_key(
+    df: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: str | None = None, how: str = "left", salts: int = 32
+) -> DataFrame:
     """Join with a table of one or few rows per key (thresholds, statistics).
 
-    Rows of a key are dealt out over ``salts`` partitions by the hash of ``spread`` and the
+    Rows of a key are dealt out over ``salts`` partitions by the hash of ``spread`` (default:
+    all other columns) and the
     small side is repeated for each, so a key that holds a third of all rows does not end
     in one task. Where the small side is small enough Spark broadcasts it instead.
     """
-    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    by = [spread] if spread else [c for c in df.columns if c not in keys]
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 

@@ -80,10 +80,11 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", nodes
     seen = _signature(e, "u", "v")
     while True:
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Repartitioned: only joins of two plain exchanges are split when a node has very many edges.
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).repartition("u")
         star = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = star.where(F.col("u") != F.col("v")).distinct()
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
+        low = star.groupBy("u").agg(F.min("v").alias("m")).repartition("u")
         rest = star.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         e = rest.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).union(low).distinct()
         e = cut_lineage(e)

@@ -54,7 +54,8 @@ def harmonize_many(
     """
     on = [*keys, ts] if per_series else [ts]
     others = [F.col(c) for c in forcing.columns if c not in on]
-    out = target.join(first_per_key(forcing, on, others), on)
+    # Repartitioned so that a time shared by very many rows can be split by adaptive execution.
+    out = target.join(first_per_key(forcing, on, others).repartition(*on), on)
     return out.withColumn("rain_resolution", F.lit("hourly")) if per_series else out
 
 

@@ -30,7 +30,8 @@ def flag_repeated_times(df: DataFrame, keys: Sequence[str], ts: str, tie: str, o
     The first copy comes from an aggregate, so a time with very many copies is folded
     before the shuffle; the join back is one adaptive execution can split.
     """
-    first = df.groupBy(*keys, ts).agg(F.min(tie).alias("_first"))
+    # Its own exchange, directly under the join: adaptive execution only splits such sides.
+    first = df.groupBy(*keys, ts).agg(F.min(tie).alias("_first")).repartition(*keys, ts)
     return df.join(first, [*keys, ts]).select(*df.columns, (F.col(tie) != F.col("_first")).alias(out))
 
 

@@ -226,7 +226,7 @@ def lift_over(runs: DataFrame, by: Sequence[str], base: str, score: str, loss: s
 
 def replace_series(table: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of re-run keys replaced by the new rows."""
-    return table.join(fresh.select(*keys).distinct(), list(keys), "left_anti").unionByName(fresh)
+    return join_per_key(table, fresh.select(*keys).distinct(), keys, how="left_anti").unionByName(fresh)
 
 
 def median_scores(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydroseries.functions.geo import haversine_km, inside_ring
+from hydroseries.operators.frames import join_per_key
 
 KM_PER_DEGREE = 110.0  # a little below the true value, so that cells are never too small
 
@@ -141,7 +142,7 @@ def gridded_to_points(cells: DataFrame, points: DataFrame, key: str, ts: str, va
     at = nearest_axis_value(at, cells.select(lo).distinct(), key, lo, lo, step, "_clo")
     mean = cells.groupBy(ts).agg(F.avg(value).alias("grid_mean"))
     hit = cells.join(at.select(key, F.col("_cla").alias(la), F.col("_clo").alias(lo)), [la, lo])
-    return hit.join(mean, ts).select(key, ts, F.col(value), "grid_mean")
+    return join_per_key(hit, mean, [ts], spread=key).select(key, ts, F.col(value), "grid_mean")
 
 
 def hit_rate(reports: DataFrame, cells: DataFrame, key: str, metres: float = 100.0) -> DataFrame:

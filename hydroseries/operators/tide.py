@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydroseries.functions import timeparts as tp
+from hydroseries.operators.frames import join_per_key
 
 
 def tide_synthesis(hours: DataFrame, constituents: DataFrame, key: str, ts: str, out: str = "tide_m") -> DataFrame:
@@ -21,4 +22,4 @@ def tide_synthesis(hours: DataFrame, constituents: DataFrame, key: str, ts: str,
     height = F.aggregate(
         "_waves", F.lit(0.0), lambda s, w: s + w["amplitude"] * F.cos(F.radians(w["speed"] * t - w["phase"]))
     )
-    return hours.join(waves, key).select(*hours.columns, height.alias(out))
+    return join_per_key(hours, waves, [key], spread=ts, how="inner").select(*hours.columns, height.alias(out))

@@ -158,20 +158,19 @@ def s09_crowd_reports(spark, sf_dir):
     return documents.flatten_reports(e.select(props.alias("properties"), F.array(F.lit(106.0) + u / 1000.0, F.lit(-6.0) - u / 1000.0).alias("coordinates")))
 
 
-@query("s10_waterway_extract", """WITH w AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1)
-    SELECT l_orderkey AS way_id, n, CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE 'river' END AS waterway FROM w""")
+@query("s10_waterway_extract", """WITH w AS (SELECT event_id // 20 AS way, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1)
+    SELECT way AS way_id, n, CASE WHEN way % 3 = 0 THEN '' ELSE 'river' END AS waterway FROM w""")
 def s10_waterway_extract(spark, sf_dir):
     """Documents of 200 ways each, one per line, written and read as nested JSON."""
     out = folder(spark)
-    l = table(spark, sf_dir, "lineitem")
-    node = F.struct(F.col("l_linenumber"), F.col("l_partkey"))
-    w = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(node)).alias("ns"))
-    tags = F.when(F.col("l_orderkey") % 3 != 0, F.create_map(F.lit("waterway"), F.lit("river")))
+    e = table(spark, sf_dir, "events").select(F.expr("event_id div 20").alias("way"), "event_id", "user_id")
+    w = e.groupBy("way").agg(F.array_sort(F.collect_list(F.struct("event_id", "user_id"))).alias("ns"))
+    tags = F.when(F.col("way") % 3 != 0, F.create_map(F.lit("waterway"), F.lit("river")))
     e = F.struct(
-        F.lit("way").alias("type"), F.col("l_orderkey").alias("id"), F.transform("ns", lambda x: x["l_partkey"]).alias("nodes"),
-        F.transform("ns", lambda x: F.struct((x["l_partkey"] / 1e4).alias("lat"), (x["l_partkey"] / 1e3).alias("lon"))).alias("geometry"), tags.alias("tags"),
+        F.lit("way").alias("type"), F.col("way").alias("id"), F.transform("ns", lambda x: x["user_id"]).alias("nodes"),
+        F.transform("ns", lambda x: F.struct((x["user_id"] / 1e4).alias("lat"), (x["user_id"] / 1e3).alias("lon"))).alias("geometry"), tags.alias("tags"),
     )
-    docs = w.select(F.expr("l_orderkey div 200").alias("d"), e.alias("e")).groupBy("d").agg(F.collect_list("e").alias("elements"))
+    docs = w.select(F.expr("way div 200").alias("d"), e.alias("e")).groupBy("d").agg(F.collect_list("e").alias("elements"))
     docs.select("elements").write.json(out)
     ways = documents.read_ways(spark, out, multi_line=False)
     return ways.select("way_id", F.size("path").cast("long").alias("n"), "waterway")

@@ -355,10 +355,9 @@ def g03_component_summary(spark, sf_dir):
     return graph.component_summary(snapped, graph.connected_components(tree(spark, sf_dir)), (0, 7))
 
 
-# Ways: the line items of an order, in line order, are the nodes of a way.
+# Ways: every 50 consecutive events are a way through the users, so that no way grows with the table.
 WAYS_SQL = f"""
-w AS (SELECT l_orderkey AS way, CASE o_orderstatus WHEN 'F' THEN 'river' WHEN 'O' THEN 'canal' ELSE 'dam' END AS waterway, l_linenumber AS ln, l_partkey AS node
-      FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+w AS (SELECT event_id // 50 AS way, CASE event_id // 50 % 3 WHEN 0 THEN 'river' WHEN 1 THEN 'canal' ELSE 'dam' END AS waterway, event_id AS ln, user_id AS node FROM events),
 pr AS (SELECT way, waterway, row_number() OVER (PARTITION BY way ORDER BY ln, node) - 1 AS pos, node AS a, lead(node) OVER (PARTITION BY way ORDER BY ln, node) AS b FROM w),
 e0 AS (SELECT least(a, b) AS u, greatest(a, b) AS v, way, waterway, pos FROM pr WHERE b IS NOT NULL AND a <> b AND waterway IN ('river', 'canal')),
 e1 AS (SELECT u, v, arg_min(waterway, ROW(way, pos)) AS waterway FROM e0 GROUP BY 1, 2),
@@ -369,18 +368,16 @@ edges AS (SELECT e1.u, e1.v, e1.waterway, a.x AS x1, a.y AS y1, b.x AS x2, b.y A
 
 
 def ways(spark, sf_dir):
-    """One way per order; an order has a handful of lines, so its node list is small."""
-    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    node = F.col("l_partkey")
+    node = F.col("user_id")
     point = F.struct(
-        F.col("l_linenumber").alias("ln"), node.alias("node"), (F.lit(-6.5) + F.expr("l_partkey div 100 % 100") / 200.0).alias("lat"),
+        F.col("event_id").alias("ln"), node.alias("node"), (F.lit(-6.5) + F.expr("user_id div 100 % 100") / 200.0).alias("lat"),
         (F.lit(106.5) + (node % 100) / 200.0).alias("lon"),
     )
-    paths = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(point)).alias("path"))
-    kind = F.when(F.col("o_orderstatus") == "F", "river").when(F.col("o_orderstatus") == "O", "canal").otherwise("dam")
-    return paths.join(o, paths["l_orderkey"] == o["o_orderkey"]).select(
-        F.col("l_orderkey").alias("way_order"), kind.alias("waterway"), F.lit("").alias("name"), "path"
-    )
+    e = table(spark, sf_dir, "events").select(F.expr("event_id div 50").alias("way_order"), point.alias("p"))
+    paths = e.groupBy("way_order").agg(F.array_sort(F.collect_list("p")).alias("path"))
+    turn = F.col("way_order") % 3
+    kind = F.when(turn == 0, "river").when(turn == 1, "canal").otherwise("dam")
+    return paths.select("way_order", kind.alias("waterway"), F.lit("").alias("name"), "path")
 
 
 @query("g01_edges_from_ways", f"WITH {WAYS_SQL} SELECT u, v, waterway, round(length_m, 3) AS length_m FROM edges")
@@ -418,9 +415,9 @@ def g05_below_zero(spark, sf_dir):
     SELECT u, v FROM edges, bx WHERE greatest(x1, x2) >= x0 - 2000 AND least(x1, x2) <= x1_ + 2000 AND greatest(y1, y2) >= y0 - 2000 AND least(y1, y2) <= y1_ + 2000""")
 def g06_clip_to(spark, sf_dir):
     e = graph.edges_from_ways(ways(spark, sf_dir))
-    k = F.col("l_partkey")
-    c = table(spark, sf_dir, "lineitem").select(
-        (F.lit(106.5) + (k % 100) / 200.0).alias("lon"), (F.lit(-6.5) + F.expr("l_partkey div 100 % 100") / 200.0).alias("lat")
+    k = F.col("user_id")
+    c = table(spark, sf_dir, "events").select(
+        (F.lit(106.5) + (k % 100) / 200.0).alias("lon"), (F.lit(-6.5) + F.expr("user_id div 100 % 100") / 200.0).alias("lat")
     ).where(F.col("lon").between(106.7, 106.8) & (F.col("lat") < -6.45))
     x, y = geo.utm_south(F.col("lon"), F.col("lat"))
     return graph.clip_to(e, c.select(x.alias("x"), y.alias("y"))).select("u", "v")

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroseries.operators.frames import first_per_key
+from hydroseries.operators.frames import first_per_key, join_per_key
 from hydroseries.operators.grid import resample_hourly
 from hydroseries.operators.qc import point_qc
 from hydroseries.session import cut_lineage
@@ -29,7 +29,7 @@ def last_times(points: DataFrame, key: str, ts: str) -> DataFrame:
 
 def since_last(new: DataFrame, last: DataFrame, key: str, ts: str) -> DataFrame:
     """New rows from the start of the last stored day on; series never seen come whole."""
-    out = new.join(last, key, "left")
+    out = join_per_key(new, last, [key], spread=ts)
     fresh = F.col("last_ts").isNull() | (F.col(ts) >= F.date_trunc("day", "last_ts").cast("timestamp_ntz"))
     return out.where(fresh).select(*new.columns)
 
@@ -46,7 +46,7 @@ def touched(old: DataFrame | None, new: DataFrame, key: str, ts: str) -> DataFra
     if old is None:
         return None
     parts = new.select(key, F.year(ts).alias("year")).distinct()
-    return old.join(parts, [key, "year"], "left_semi")
+    return join_per_key(old, parts, [key, "year"], spread=ts, how="left_semi")
 
 
 def ingest(spark: SparkSession, new: DataFrame, points_path: str, hourly_path: str, key: str = "series_id") -> None:
