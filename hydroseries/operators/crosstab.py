@@ -54,9 +54,9 @@ def event_crosstab(
     period, month, place, n_text; ``reports`` ts, lat, lon, depth. Stations without
     coordinates have no place, and unknown counts of reports.
     """
-    # Every combination is a row of the result; events are few, so each station is repeated per event.
-    listed = events.agg(F.collect_list(F.struct("event", "start")).alias("_ev"))
-    frame = stations.join(F.broadcast(listed)).select(key, "lat", "lon", "threshold", F.inline("_ev"))
+    # Every combination is a row of the result; events are a short hand-kept list, so each station is repeated per event.
+    listed = events.agg(F.collect_list(F.struct("event", "start"))).scalar()
+    frame = stations.withColumn("_ev", listed).select(key, "lat", "lon", "threshold", F.inline("_ev"))
     rows = in_windows(join_per_key(pred, stations.select(key, "threshold"), [key], ts, "inner"), ts, events.select("event", "start", "end"), pad_days)
     over: Column = F.col("y") >= F.col("threshold")
     told: Column = F.col("yhat") >= F.col("threshold")

@@ -210,10 +210,11 @@ def below_zero(edges: DataFrame) -> DataFrame:
 
 def clip_to(edges: DataFrame, points: DataFrame, margin: float = 2000.0) -> DataFrame:
     """Edges that touch the bounding box of the points, grown by ``margin`` metres."""
-    box = points.agg(*[f(c).alias(f"_{n}{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
-    out = edges.join(F.broadcast(box))  # one row
+    ends = [f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))]
+    out = edges.withColumn("_box", points.agg(F.struct(*ends)).scalar())
+    box = F.col("_box")
     hit = F.lit(True)
     for c in ("x", "y"):
         lo, hi = F.least(f"{c}1", f"{c}2"), F.greatest(f"{c}1", f"{c}2")
-        hit = hit & (hi >= F.col(f"_lo{c}") - margin) & (lo <= F.col(f"_hi{c}") + margin)
+        hit = hit & (hi >= box[f"lo{c}"] - margin) & (lo <= box[f"hi{c}"] + margin)
     return out.where(hit).select(*edges.columns)

@@ -95,9 +95,10 @@ def nearest_axis_value(points: DataFrame, axis: DataFrame, key: str, at: str, va
     coordinate need to be looked at; points further than a step from the axis get the
     nearer end of it.
     """
-    ends = axis.agg(F.min(value).alias("_a0"), F.max(value).alias("_a1"))
-    inside = F.greatest(F.least(F.col(at), F.col("_a1")), F.col("_a0"))
-    p = points.select(key, at).join(F.broadcast(ends)).withColumn("_want", inside)  # one row of ends
+    ends = axis.agg(F.struct(F.min(value).alias("first"), F.max(value).alias("last"))).scalar()
+    inside = F.greatest(F.least(F.col(at), F.col("_ends.last")), F.col("_ends.first"))
+    # A point without coordinate has no place on the axis.
+    p = points.select(key, at).where(F.col(at).isNotNull()).withColumn("_ends", ends).withColumn("_want", inside)
     p = p.withColumn("_bin", F.explode(F.transform(neighbours(), lambda d: _cell(F.col("_want"), step) + d)))
     a = axis.select(F.col(value).alias("_v")).distinct().withColumn("_bin", _cell(F.col("_v"), step))
     best = p.join(a, "_bin").groupBy(key).agg(F.min_by("_v", F.struct(F.abs(F.col("_v") - F.col(at)), F.col("_v"))).alias(out))
@@ -134,9 +135,9 @@ def gridded_to_points(cells: DataFrame, points: DataFrame, key: str, ts: str, va
     la, lo = keys_of_cell
     where = points
     if fallback is not None:
-        spare = points.where(F.col(key) == fallback).agg(F.max(la).alias("_la"), F.max(lo).alias("_lo"))
-        where = points.join(F.broadcast(spare)).select(  # one row
-            key, F.coalesce(la, "_la").alias(la), F.coalesce(lo, "_lo").alias(lo)
+        spare = points.where(F.col(key) == fallback).agg(F.struct(F.max(la).alias("la"), F.max(lo).alias("lo"))).scalar()
+        where = points.withColumn("_spare", spare).select(
+            key, F.coalesce(la, "_spare.la").alias(la), F.coalesce(lo, "_spare.lo").alias(lo)
         )
     at = nearest_axis_value(where, cells.select(la).distinct(), key, la, la, step, "_cla")
     at = nearest_axis_value(at, cells.select(lo).distinct(), key, lo, lo, step, "_clo")

@@ -98,24 +98,20 @@ def standardise(df: DataFrame, columns: Sequence[str], train: str, weight: str |
     """(x - mean) / (std + 1e-8) with mean and population deviation of the training rows.
 
     ``weight`` counts a row several times, as overlapping windows do. The statistics are
-    one row, joined back without moving the data.
+    one row and enter as a scalar subquery.
     """
     t = F.col(train)
     wt = F.when(t, F.col(weight).cast("double") if weight else F.lit(1.0))
-    aggs = []
+    aggs, scaled = [], []
     for c in columns:
         x = F.when(t & F.col(c).isNotNull(), F.col(c).cast("double"))
         n = F.sum(F.when(x.isNotNull(), wt))
         mean = F.sum(wt * x) / n
-        aggs += [mean.alias(f"_m_{c}"), F.sum(wt * x * x).alias(f"_q_{c}"), n.alias(f"_n_{c}")]
-    stats = df.agg(*aggs)
-    out = df.join(F.broadcast(stats))  # exactly one row
-    scaled = []
-    for c in columns:
-        m, q, n = F.col(f"_m_{c}"), F.col(f"_q_{c}"), F.col(f"_n_{c}")
-        std = F.sqrt(F.greatest(q / n - m * m, F.lit(0.0)))
-        scaled.append(((F.col(c) - m) / (std + 1e-8)).alias(f"{c}_scaled"))
-    return out.select(*df.columns, *scaled)
+        aggs += [mean.alias(f"m_{c}"), F.sqrt(F.greatest(F.sum(wt * x * x) / n - mean * mean, F.lit(0.0))).alias(f"d_{c}")]
+        m, d = F.col("_stats")[f"m_{c}"], F.col("_stats")[f"d_{c}"]
+        scaled.append(((F.col(c) - m) / (d + 1e-8)).alias(f"{c}_scaled"))
+    stats = df.agg(F.struct(*aggs)).scalar()
+    return df.withColumn("_stats", stats).select(*df.columns, *scaled)
 
 
 def train_linear(windows: DataFrame, horizon_rows: str, peak_weight: float = 5.0, peak_prob: float = 0.9):
@@ -135,7 +131,7 @@ def train_linear(windows: DataFrame, horizon_rows: str, peak_weight: float = 5.0
     train = windows.where(horizon_rows)
     peak = exact_quantiles(train.withColumn("_g", F.lit(0)), ["_g"], F.col("y"), {"peak": peak_prob})
     flat = F.flatten(F.transform("history", lambda s: F.array(*[s[c].cast("double") for c in _fields(windows)])))
-    ready = windows.withColumn("history_vec", array_to_vector(flat)).join(F.broadcast(peak.select("peak")))  # one row
+    ready = windows.withColumns({"history_vec": array_to_vector(flat), "peak": peak.select("peak").scalar()})
     ready = ready.withColumn("weight", F.when(F.col("y") > F.col("peak"), peak_weight).otherwise(1.0)).drop("peak")
     steps = [
         VectorAssembler(inputCols=["history_vec", "known_future", "y_last"], outputCol="features"),

@@ -176,9 +176,8 @@ def _flood(spark, sf_dir):
     )
     centre = db.select("row", "col", (F.lit(106.60) + F.col("col") * 0.012).alias("lon"), (F.lit(-6.36) + F.col("row") * 0.0072).alias("lat"))
     land = points_in_polygons(centre, polygons, "place").where(F.col("place").isNotNull()).select("row", "col", "place")
-    thr = _threshold(db.join(land, ["row", "col"])).select("threshold_db")
-    event = db.join(F.broadcast(thr))  # one row
-    event = event.withColumn("value", F.col("value") - F.col("threshold_db")).drop("threshold_db")
+    thr = _threshold(db.join(land, ["row", "col"])).select("threshold_db").scalar()
+    event = db.withColumn("value", F.col("value") - thr)
     mask = cs.flood_mask(event, reference(spark, sf_dir), land, terrain(spark, sf_dir), F.lit(0.0), F.lit(-19.0))
     return mask, land, polygons
 
@@ -300,8 +299,8 @@ def q20_tide_synthesis(spark, sf_dir):
         "s_suppkey", k.cast("string").alias("name"), (F.lit(0.1) + k * 0.01).alias("amplitude"), (F.lit(13.0) + k * 0.75).alias("speed"),
         ((F.col("s_suppkey") * 7 + k * 11) % 360).cast("double").alias("phase"),
     )
-    size = s.agg(F.count("*").alias("_n"))
-    e = table(spark, sf_dir, "events").select("user_id", tp.hour_of(F.col("ts")).alias("ts")).join(F.broadcast(size))  # one row
+    e = table(spark, sf_dir, "events").select("user_id", tp.hour_of(F.col("ts")).alias("ts"))
+    e = e.withColumn("_n", s.agg(F.count("*")).scalar())
     hours = e.select((F.col("user_id") % F.col("_n")).alias("s_suppkey"), "ts").distinct()
     return rounded(tide_synthesis(hours, waves, "s_suppkey", "ts"), "tide_m")
 

@@ -52,12 +52,26 @@ def test_blocks_equal_plain_window(walk, rows):
 
 def test_no_task_gets_a_whole_series(spark):
     """Rows left partitioned by series alone are cut again before an ordered step."""
-    by_key = spark.range(1000).select(F.lit("hot").alias("k"), F.col("id").alias("t")).repartition(8, "k")
-    out = in_blocks(by_key, ["k"], "t", {"p": lambda w: F.lag("t").over(w)}, before=1, rows=50)
-    parts = out.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
-    plan = out._jdf.queryExecution().sparkPlan().toString()
-    assert "RepartitionByExpression" in plan or "Exchange hashpartitioning(k" in plan or "REPARTITION_BY_COL" in plan
-    assert sum(r["count"] for r in parts) == 1000
+    by_key = spark.range(1000).select(F.lit("hot").alias("k"), F.col("id").alias("t"), (F.col("id") / 50).cast("long").alias("c"))
+    by_key = by_key.repartition(8, "k")
+    limits = spark.createDataFrame([("hot", 1.0)], "k string, limit double")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for out in (
+            in_blocks(by_key, ["k"], "t", {"p": lambda w: F.lag("t").over(w)}, before=1, rows=50),
+            scan_series(by_key, ["k"], "c", ["t"], prev={"p": F.col("t")}),
+            with_position(by_key, ["k"], "c", ["t"]),
+            join_per_key(by_key, limits, ["k"], "t"),
+        ):
+            sizes = [r["count"] for r in out.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()]
+            assert sum(sizes) == 1000 and max(sizes) < 500, sizes
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 @pytest.mark.parametrize("values", [
