@@ -107,7 +107,8 @@ def standardise(df: DataFrame, columns: Sequence[str], train: str, weight: str |
         x = F.when(t & F.col(c).isNotNull(), F.col(c).cast("double"))
         n = F.sum(F.when(x.isNotNull(), wt))
         mean = F.sum(wt * x) / n
-        aggs += [mean.alias(f"m_{c}"), F.sqrt(F.greatest(F.sum(wt * x * x) / n - mean * mean, F.lit(0.0))).alias(f"d_{c}")]
+        spread = F.sqrt(F.greatest(F.sum(wt * x * x) / n - mean * mean, F.lit(0.0))) if weight else F.stddev_pop(x)
+        aggs += [mean.alias(f"m_{c}"), spread.alias(f"d_{c}")]
         m, d = F.col("_stats")[f"m_{c}"], F.col("_stats")[f"d_{c}"]
         scaled.append(((F.col(c) - m) / (d + 1e-8)).alias(f"{c}_scaled"))
     stats = df.agg(F.struct(*aggs)).scalar()

@@ -205,12 +205,12 @@ def q06_spike_filter_keep_gaps(spark, sf_dir):
                  min(CASE WHEN v IS NOT NULL THEN i END) OVER
                    (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM p)
     SELECT q.k, q.ts, round(CASE WHEN q.v IS NOT NULL THEN q.v WHEN q.a IS NULL OR q.i - q.a > 6 THEN NULL
-        WHEN q.b IS NULL THEN x.v ELSE x.v + (y.v - x.v) * (q.i - q.a) / (q.b - q.a)::DOUBLE END, 9) AS v
+        WHEN q.b IS NULL THEN x.v ELSE x.v + (y.v - x.v) * (q.i - q.a) / (q.b - q.a)::DOUBLE END, 8) AS v
     FROM q LEFT JOIN p x ON x.k = q.k AND x.i = q.a LEFT JOIN p y ON y.k = q.k AND y.i = q.b""",
 )
 def q07_interpolate_linear(spark, sf_dir):
     g = grid_events(spark, sf_dir, "user_id").select("k", "ts", "v")
-    return rounded(hz.interpolate_linear(g, ["k"], "ts", "v"), "v", digits=9)
+    return rounded(hz.interpolate_linear(g, ["k"], "ts", "v"), "v", digits=8)
 
 
 @query(
