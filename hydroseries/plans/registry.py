@@ -32,11 +32,11 @@ def ntz(c):
     return c.cast("timestamp_ntz")
 
 
-def hourly_events(spark: SparkSession, sf_dir: str, key: str = "event_type") -> DataFrame:
+def hourly_events(spark: SparkSession, sf_dir: str, key: str = "event_type", digits: int = 9) -> DataFrame:
     """k, ts (hour), v (mean), vmax, n: the hourly series of ``events``."""
     e = table(spark, sf_dir, "events")
     return e.groupBy(F.col(key).alias("k"), ntz(F.date_trunc("hour", "ts")).alias("ts")).agg(
-        F.round(F.avg("value"), 9).alias("v"), F.max("value").alias("vmax"), F.count("*").alias("n")
+        F.round(F.avg("value"), digits).alias("v"), F.max("value").alias("vmax"), F.count("*").alias("n")
     )
 
 
@@ -53,11 +53,11 @@ def hourly_sql(key: str = "event_type", grid: bool = False) -> str:
     return HOURLY_SQL.format(key=key) + ("," + GRID_SQL if grid else "")
 
 
-def grid_events(spark: SparkSession, sf_dir: str, key: str = "event_type") -> DataFrame:
+def grid_events(spark: SparkSession, sf_dir: str, key: str = "event_type", digits: int = 9) -> DataFrame:
     """The hourly series on a complete grid."""
     from hydroseries.operators.grid import complete_grid
 
-    return complete_grid(hourly_events(spark, sf_dir, key), ["k"], "ts")
+    return complete_grid(hourly_events(spark, sf_dir, key, digits), ["k"], "ts")
 
 
 def rain_daily(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,7 +199,7 @@ def q06_spike_filter_keep_gaps(spark, sf_dir):
 
 @query(
     "q07_interpolate_linear",
-    f"""WITH {hourly_sql('user_id', True)},
+    f"""WITH {hourly_sql('user_id', True).replace('round(avg(value), 9)', 'round(avg(value), 12)')},
     p AS (SELECT k, ts, v, row_number() OVER (PARTITION BY k ORDER BY ts) - 1 AS i FROM g),
     q AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY k ORDER BY i) AS a,
                  min(CASE WHEN v IS NOT NULL THEN i END) OVER
@@ -209,7 +209,7 @@ def q06_spike_filter_keep_gaps(spark, sf_dir):
     FROM q LEFT JOIN p x ON x.k = q.k AND x.i = q.a LEFT JOIN p y ON y.k = q.k AND y.i = q.b""",
 )
 def q07_interpolate_linear(spark, sf_dir):
-    g = grid_events(spark, sf_dir, "user_id").select("k", "ts", "v")
+    g = grid_events(spark, sf_dir, "user_id", digits=12).select("k", "ts", "v")
     return rounded(hz.interpolate_linear(g, ["k"], "ts", "v"), "v", digits=8)
 
 
