@@ -24,7 +24,7 @@ from hydroseries.llm.common import SPACES, Buffer, map_batches, rows_of, texts
 
 #: What one node costs beside its label: the object, its dictionary, its terminal.
 NODE_BYTES = 400
-_RECORD = struct.Struct("<qqqq32s")
+_RECORD = "<qqqq32s"
 
 
 class _Node:
@@ -57,7 +57,7 @@ class PatriciaTrie:
         node, rest = self.root, memoryview(text)
         while True:
             if node.file is not None:
-                node.file.write(_RECORD.pack(owner[0], owner[1], owner[2], len(rest), owner[3]))
+                node.file.write(struct.pack(_RECORD, owner[0], owner[1], owner[2], len(rest), owner[3]))
                 node.file.write(rest)
                 return
             if not rest:
@@ -126,7 +126,7 @@ class PatriciaTrie:
         os.unlink(name)  # the space is free again as soon as the file is closed, also after a failure
         for text, owner in self._walk(kid, b""):
             rest = text[len(kid.label) :]
-            stub.file.write(_RECORD.pack(owner[0], owner[1], owner[2], len(rest), owner[3]))
+            stub.file.write(struct.pack(_RECORD, owner[0], owner[1], owner[2], len(rest), owner[3]))
             stub.file.write(rest)
         node.kids[kid.label[0]] = stub
         self.size += NODE_BYTES + len(kid.label)
@@ -141,8 +141,8 @@ class PatriciaTrie:
             if node.file is not None:
                 node.file.seek(0)
                 part = PatriciaTrie(self.budget, self.folder)
-                while head := node.file.read(_RECORD.size):
-                    points, who, copies, n, digest = _RECORD.unpack(head)
+                while head := node.file.read(struct.calcsize(_RECORD)):
+                    points, who, copies, n, digest = struct.unpack(_RECORD, head)
                     for _ in part.insert(node.file.read(n), [points, who, copies, digest]):
                         pass
                 node.file.close()
