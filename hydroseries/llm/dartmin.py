@@ -266,8 +266,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Two texts are linked if the weighted Jaccard similarity of their five-word shingles is 0.8 or more; classes are what links
     connect, ``class_id`` the smallest doc_id in it. Texts of equal words are one node, whatever their number, so copies are never
-    paired. A text of fewer than five words is one shingle and equals only its copies. Texts without words (null, empty)
-    are in no class: node and class_id null, size 1. Repeated rows are copies. A class of null ids alone has a null class_id.
+    paired. A text of fewer than five words is one shingle and equals only its copies. A text without words (null, empty)
+    is a class of its own: node null, class_id its id, size 1. Repeated rows are copies. A class of null ids has a null class_id.
     """
     rows = texts(docs, id_col, text_col)
     made = cut_lineage(signatures(rows))
@@ -316,7 +316,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     out = labelled.join(sizes, "_class", "left")
     return out.select(
-        "doc_id", "node", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        "doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         F.col("n").alias("n_shingles"),
     )
 
@@ -327,8 +327,8 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A repeated row of that id stays once: equal ids and texts next to each other after the join are folded.
     """
     classes = near_classes(docs, id_col, text_col)
-    gone = classes.where(F.col("class_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id")))
-    again = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    gone = classes.where(F.col("doc_id") != F.col("class_id"))
+    again = classes.where(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
     keep = docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
     if again.where("_rows > 1").isEmpty():
         return keep
