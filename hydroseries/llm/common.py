@@ -7,18 +7,17 @@ and ``bytes.lower`` know ASCII only, which is what the word rule ``[^\\x20\\x09-
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 SPACES = b" \t\n\x0b\x0c\r"
-MASK = (1 << 64) - 1
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +32,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **mor
     )
 
 
+def packed(df: DataFrame, **keys: Column) -> DataFrame:
+    """All columns of ``df`` as one, ``_row``, beside the named keys: no name of ``df`` can clash with a name in use."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[k.alias(n) for n, k in keys.items()])
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` for a function that yields dicts of columns."""
     kind: StructType = _parse_datatype_string(schema)
@@ -78,7 +82,7 @@ class Buffer:
 
 def hash64(word: bytes) -> int:
     """A 64-bit hash that is the same in every process."""
-    return (zlib.crc32(word) << 32 | zlib.crc32(word, 0x9E3779B9)) & MASK
+    return xxhash.xxh3_64_intdigest(word)
 
 
 class WordIds(dict):

@@ -22,6 +22,7 @@ from hydroseries.session import cut_lineage
 
 CLASSES = 256
 STATES = 8
+BLUR = 0.05
 END = b""  # no word is empty
 
 
@@ -192,9 +193,9 @@ def train(coded: DataFrame, words: list[bytes], share: np.ndarray, rounds: int =
         start = (table[size] + 1) / (table[size].sum() + STATES)
         move = table[size + 1 :] + 1
         move /= move.sum(axis=1, keepdims=True)
-        # Every symbol keeps some weight in every state, by its share of all tokens.
-        emit = table[:size] + 50 * share[:, None]
-        emit /= emit.sum(axis=0)
+        # Every symbol keeps some weight in every state, by its share of all tokens: classes of words never seen too.
+        emit = table[:size] + 1e-3 * share[:, None]
+        emit = (1 - BLUR) * emit / emit.sum(axis=0) + BLUR * share[:, None]
     return start, move, emit
 
 

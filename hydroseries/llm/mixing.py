@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hydroseries.llm.common import packed
 from hydroseries.llm.ordering import digest_order, digest_slice, range_slices, running
 from hydroseries.session import cut_lineage
 
@@ -101,15 +102,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     copies = taken.groupBy("doc_id", "text_hash").agg(
         F.sum(F.expr("taken div size")).alias("_copies"), F.count("*").alias("_rows")
     )
-    keyed = docs.withColumn("_hash", F.xxhash64(F.col(options.get("text_col", "text"))))
-    ids = options.get("id_col", "doc_id")
-    joined = keyed.join(
-        copies.select(F.col("doc_id").alias("_id"), "text_hash", "_copies", "_rows"),
-        F.col(ids).cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("text_hash")),
-    )
+    ids, text = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    keyed = packed(docs, _key=F.col(f"`{ids}`").cast("long"), _hash=F.xxhash64(F.col(f"`{text}`")))
+    joined = keyed.join(copies, F.col("_key").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")))
     # A repeated row takes its share of the copies; the remainder goes to the first ones.
-    nth = F.row_number().over(Window.partitionBy(ids, "_hash").orderBy("_hash"))
+    nth = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy("_hash"))
     joined = joined.withColumn("_nth", F.when(F.col("_rows") > 1, nth).otherwise(1))
     times = F.expr("int(_copies div _rows) + int(_nth <= _copies % _rows)")
-    out = joined.withColumn("_n", F.explode(F.array_repeat(F.lit(1), times)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.withColumn("_n", F.explode(F.array_repeat(F.lit(1), times))).select("_row.*")

@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hydroseries.llm.common import packed
 from hydroseries.llm.ordering import SLICES, digest_order, digest_slice, running
 from hydroseries.session import cut_lineage
 
 
+ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def shard_rows(
     docs: DataFrame, shards: int = 24, seed: int = 11, id_col: str = "doc_id", text_col: str = "text",
     source_col: str = "source",
@@ -22,8 +26,7 @@ def shard_rows(
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per row of ``docs``.
 
     The law is ``rows``: shards hold counts at most one apart; slots run from 0 without gaps in the interleaved
-    order; ``grown_shard`` is null (it belongs to the law ``key``). Of one source, and of the whole, any two shards
-    differ by about one row per source.
+    order; ``grown_shard`` is null (it belongs to the law ``key``). Any two shards differ by two rows of a source at most.
 
     Null text: size 8, checksum 0. A null source is a source of its own. Null or repeated ids are rows like others:
     equal rows may change places with each other, which changes no result. Fewer rows than shards: some stay empty.
@@ -53,17 +56,17 @@ def shard_rows(
 
 
 def sharded_documents(docs: DataFrame, **options) -> DataFrame:
-    """The columns of ``docs`` with size, text_crc32, law, shard, slot and grown_shard (names taken there win).
+    """The columns of ``docs`` with size, text_crc32, law, shard, slot and grown_shard, which replace columns of their names.
 
     Repeated rows are numbered on both sides, so that each gets one of their places.
     """
     ids, text = options.get("id_col", "doc_id"), options.get("text_col", "text")
     made = shard_rows(docs, **options)
     crc = F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
-    left = docs.withColumns({"_id": F.coalesce(F.col(f"`{ids}`").cast("string"), F.lit("null")), "_crc": crc})
-    left = left.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy(F.octet_length(f"`{text}`"))))
+    left = packed(docs, _id=F.coalesce(F.col(f"`{ids}`").cast("string"), F.lit("null")), _crc=crc, _size=F.octet_length(f"`{text}`"))
+    left = left.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy("_size")))
     right = made.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_crc": F.col("text_crc32")})
     right = right.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy("size", "shard", "slot")))
-    added = [c for c in made.columns if c not in ("doc_id", *docs.columns)]
-    joined = left.join(right.select("_id", "_crc", "_nth", *added), ["_id", "_crc", "_nth"])
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], *added)
+    joined = left.join(right.drop("doc_id"), ["_id", "_crc", "_nth"])
+    old = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ADDED]
+    return joined.select(*old, *ADDED)
