@@ -6,33 +6,32 @@ dart that lies below the element's weight counts; the earliest dart per coordina
 signatures agree in a coordinate with the probability of the weighted Jaccard similarity. Only the ranks a text needs
 are thrown, so the work is about the number of elements plus k ln k, not their product.
 
-Texts that share a band of the signature are compared by signature within their bucket. Pairs that may reach the
-threshold are verified exactly on the whole shingle sets; connected texts form a class.
+Texts that share a band of the signature are compared by signature within their bucket; what may be similar forms
+clusters. Within a cluster the whole shingle sets are compared exactly; texts that links connect form a class.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydroseries.llm.common import Buffer, WordIds, gram_hashes, hash64, map_batches, mix, rows_of, signed, texts
+from hydroseries.llm.common import Buffer, WordIds, gram_hashes, hash64, map_batches, mix, packed, rows_of, signed, texts
 from hydroseries.operators.graph import connected_components
 from hydroseries.session import cut_lineage
 
 SHINGLE = 5
 THRESHOLD = 0.8
-K = 256
+K = 144
 BANDS, ROWS = 24, 6  # at a similarity of 0.8 a pair shares no band with a probability below 0.001
 FIRST = -14  # the lowest stretch of ranks is [0, 2^FIRST); each further one doubles what is thrown
-#: Pairs are verified from this share of equal coordinates on: 3.5 standard deviations below the threshold.
+#: Texts meet in a cluster from this share of equal coordinates on: 3.5 standard deviations below the threshold.
 LIKELY = THRESHOLD - 3.5 * (THRESHOLD * (1 - THRESHOLD) / K) ** 0.5
-#: From here on a pair is taken as linked until its verification, so that not every pair of a tight group is verified.
-SURE = 0.9
-BLOCK = 2000
+#: Texts, and shingles of texts, in one block of a group.
+BLOCK, UNITS = 2000, 2_000_000
 
 
 def _stretch(level: int) -> tuple[float, float]:
@@ -155,110 +154,116 @@ def signatures(rows: DataFrame) -> DataFrame:
     return map_batches(rows, run, "doc_id long, node long, n long, bands array<long>, sig binary")
 
 
-class _Sets:
-    """Union-find; the smallest place is the root."""
+def connect(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of the graph whose neighbours ``near(place, others)`` tells (a truth value each).
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def _bucket_pairs(nodes, sizes, labels, sides, sig, every: bool) -> Iterator[tuple[int, int, bool]]:
-    """Places (a, b) and whether they count as linked for now. ``sides``: 0, 1 (compare across) or 2 (compare all)."""
-    n = len(nodes)
-    found_a, found_b, share = [], [], []
-    step = max(1, (16 << 20) // (n * sig.shape[1]))
-    for at in range(0, n, step):
-        part = slice(at, min(n, at + step))
-        same = (sig[part, None, :] == sig[None, at:, :]).mean(axis=2)
-        same = (same - 1 / 256) / (1 - 1 / 256)  # bytes agree by chance
-        small = np.minimum(sizes[part, None], sizes[None, at:]) >= THRESHOLD * np.maximum(sizes[part, None], sizes[None, at:])
-        ok = (same >= LIKELY) & small & (labels[part, None] != labels[None, at:])
-        ok &= (sides[part, None] == 2) | (sides[part, None] != sides[None, at:])
-        i, j = np.nonzero(ok)
-        up = j > i
-        i, j = i[up], j[up]
-        found_a.append(i + at)
-        found_b.append(j + at)
-        share.append(same[i, j])
-    a, b, s = np.concatenate(found_a), np.concatenate(found_b), np.concatenate(share)
-    if every:
-        yield from zip(a.tolist(), b.tolist(), [False] * len(a))
-        return
-    sure = np.flatnonzero(s >= SURE)
-    sets = _Sets(n)
-    # Links to the smallest node of a tight group come first: they are the same ones in every bucket.
-    order = sure[np.lexsort((b[sure], a[sure]))]
-    for x, y in zip(a[order].tolist(), b[order].tolist()):
-        if sets.join(x, y):
-            yield x, y, True
-    for x, y in zip(a[s < SURE].tolist(), b[s < SURE].tolist()):
-        if sets.root(x) != sets.root(y):
-            yield x, y, False
-
-
-def _candidates(members: DataFrame, every: bool) -> DataFrame:
-    """a, b, sure: distinct pairs to verify. ``members``: h, i, j, side, node, n, label, sig."""
+    One place after the other is compared with all that are not yet connected to it, first of all those outside the
+    largest component. At the end every place outside it was compared with all others, so no connection is missing,
+    while a group of copies of one original takes few comparisons.
+    """
+    label, done = np.arange(n), np.zeros(n, dtype=bool)
+    while True:
+        size = np.bincount(label, minlength=n)
+        open_ = np.flatnonzero(~done & (label != size.argmax()))
+        if not done.any():
+            open_ = np.arange(n)
+        if not len(open_):
+            return
+        hub = int(open_[0])
+        done[hub] = True
+        others = np.flatnonzero(label != label[hub])
+        if not len(others):
+            return
+        hits = others[near(hub, others)]
+        if not len(hits):
+            continue
+        labels, first = np.unique(label[hits], return_index=True)
+        yield from ((hub, int(x)) for x in hits[first])
+        label[np.isin(label, labels)] = label[hub]
+
+
+def _streamed(groups: DataFrame, key: list[str], columns: list[str], edges) -> DataFrame:
+    """u, v: what ``edges`` yields for the rows of each group; rows of a group follow each other in a sorted partition."""
 
     def run(batches):
-        out = Buffer("a", "b", "sure")
-        held, key = [], None
+        out, held, now = Buffer("u", "v"), [], None
 
         def flush():
-            if len(held) < 2:
-                return
-            held.sort(key=lambda r: r[0])
-            nodes = [r[0] for r in held]
-            sizes, labels, sides = (np.array([r[c] for r in held]) for c in (1, 2, 3))
-            sig = np.frombuffer(b"".join(r[4] for r in held), dtype=np.uint8).reshape(len(held), -1)
-            for x, y, sure in _bucket_pairs(nodes, sizes, labels, sides, sig, every):
-                out.add(nodes[x], nodes[y], sure)
-
-        for h, i, j, node, n, label, side, sig in rows_of(batches, "h", "i", "j", "node", "n", "label", "side", "sig"):
-            if (h, i, j) != key:
+            if len(held) > 1:
+                for u, v in edges(held):
+                    out.add(u, v)
+
+        for row in rows_of(batches, *key, *columns):
+            if row[: len(key)] != now:
                 flush()
-                held, key = [], (h, i, j)
+                held, now = [], row[: len(key)]
                 if out.full():
                     yield out.take()
-            held.append((node, n, label, side, sig))
+            held.append(row[len(key) :])
         flush()
         yield out.take()
 
-    dealt = members.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    pairs = map_batches(dealt, run, "a long, b long, sure boolean")
-    return pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    dealt = groups.select(*key, *columns).repartition(*key).sortWithinPartitions(*key)
+    return map_batches(dealt, run, "u long, v long")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Buckets of more than ``BLOCK`` texts are compared in pairs of blocks, each pair a group of its own."""
-    n = F.greatest(F.lit(1), F.ceil(F.col("copies") / BLOCK)).cast("int")
+def _blocks(members: DataFrame, count: Column, size: Column | None = None) -> DataFrame:
+    """Add i, j: a group of more than ``BLOCK`` texts (or ``UNITS`` shingles) is compared in pairs of blocks."""
+    n = F.ceil(count / BLOCK)
+    n = F.greatest(F.lit(1), n if size is None else F.greatest(n, F.ceil(size / UNITS))).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("_n")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    dealt = members.withColumn("_n", n).withColumn("_own", own).withColumn("_other", other)
-    side = F.when(F.col("_own") == F.col("_other"), 2).when(F.col("_own") < F.col("_other"), 0).otherwise(1)
-    return dealt.select(
-        "h", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), side.alias("side"),
-        "node", "n", "label", "sig",
+    others = F.when(F.col("_n") == 1, F.array(F.lit(0))).otherwise(
+        F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda x: x != F.col("_own"))
     )
+    dealt = members.withColumn("_n", n).withColumn("_own", own).withColumn("_other", F.explode(others))
+    return dealt.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other")}).drop("_n", "_own", "_other")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, sure, linked: the exact similarity of the whole sets against the threshold."""
-    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("units").alias("_y")), "b")
-    both = left.join(sets.select(F.col("node").alias("a"), F.col("units").alias("_x")), "a")
-    common = F.size(F.array_intersect("_x", "_y"))
-    linked = common * 10 >= (F.size("_x") + F.size("_y") - common) * int(THRESHOLD * 10)
-    return both.select("a", "b", "sure", linked.alias("linked"))
+def _similar_size(sizes: np.ndarray, hub: int, others: np.ndarray) -> np.ndarray:
+    return np.minimum(sizes[others], sizes[hub]) >= THRESHOLD * np.maximum(sizes[others], sizes[hub])
+
+
+def _likely_edges(held: list[tuple]) -> Iterator[tuple[int, int]]:
+    """node, n, sig of a bucket -> a forest over pairs whose signatures may belong to similar sets."""
+    held = sorted(held)
+    sizes = np.array([r[1] for r in held])
+    sig = np.frombuffer(b"".join(r[2] for r in held), dtype=np.uint8).reshape(len(held), -1)
+
+    def near(hub, others):
+        same = (sig[others] == sig[hub]).mean(axis=1)
+        same = (same - 1 / 256) / (1 - 1 / 256)  # bytes agree by chance
+        return (same >= LIKELY) & _similar_size(sizes, hub, others)
+
+    for x, y in connect(len(held), near):
+        yield held[x][0], held[y][0]
+
+
+def _exact_edges(held: list[tuple]) -> Iterator[tuple[int, int]]:
+    """node, units of a cluster -> a forest over pairs whose whole sets reach the threshold."""
+    held = sorted(held)
+    sizes = np.array([len(r[1]) for r in held])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    distinct, flat = np.unique(np.concatenate([np.asarray(r[1]) for r in held]), return_inverse=True)
+    flat = flat.astype(np.int32)
+    mark = np.zeros(len(distinct), dtype=bool)
+
+    def near(hub, others):
+        out = np.zeros(len(others), dtype=bool)
+        fit = np.flatnonzero(_similar_size(sizes, hub, others))
+        if not len(fit):
+            return out
+        own = flat[starts[hub] : starts[hub + 1]]
+        mark[own] = True
+        if len(fit) * 2 > len(held):
+            common = np.add.reduceat(mark[flat].astype(np.int64), starts[:-1])[others[fit]]
+        else:
+            common = np.array([np.count_nonzero(mark[flat[starts[o] : starts[o + 1]]]) for o in others[fit]])
+        mark[own] = False
+        out[fit] = common * 10 >= (sizes[others[fit]] + sizes[hub] - common) * int(THRESHOLD * 10)
+        return out
+
+    for x, y in connect(len(held), near):
+        yield held[x][0], held[y][0]
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,18 +280,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = exploded.groupBy("h").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.count("*").alias("copies"))
     shared = shared.where(F.col("_lo") != F.col("_hi")).select("h", "copies")
     members = exploded.join(shared, "h").groupBy("h", "node").agg(F.max("copies").alias("copies"))
-    nodes = made.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
-    members = cut_lineage(members.join(nodes, "node").withColumn("label", F.col("node")))
-    pairs = cut_lineage(_candidates(_blocks(members), False))
+    nodes = made.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    buckets = _blocks(members.join(nodes, "node"), F.col("copies"))
+    likely = _streamed(buckets, ["h", "i", "j"], ["node", "n", "sig"], _likely_edges)
+    clusters = cut_lineage(connected_components(likely))
 
-    wanted = members.select("node").distinct()
-    ids = made.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
+    ids = made.join(clusters, "node", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
     whole = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def run(batches):
-        words_of, ids_, out, seen = bytes.split, WordIds(hash64), Buffer("node", "units"), set()
+        ids_, out, seen = WordIds(hash64), Buffer("node", "units"), set()
         for (text,) in rows_of(batches, "text"):
-            words = words_of(text or b"")
+            words = (text or b"").split()
             node = _node(words)
             if node in seen or not words:
                 continue
@@ -297,19 +302,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield out.take()
         yield out.take()
 
-    sets = map_batches(whole, run, "node long, units array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = cut_lineage(sets)
-    checked = cut_lineage(_verified(pairs, sets))
-    links = checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    joined = connected_components(links)
-    if not checked.where(F.col("sure") & ~F.col("linked")).isEmpty():
-        # A pair taken as linked was not: what it seemed to connect is looked at again, now with every likely pair.
-        labelled = members.drop("label").join(joined, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        mixed = labelled.groupBy("h").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where(F.col("_lo") != F.col("_hi"))
-        again = _candidates(_blocks(labelled.join(mixed.select("h"), "h", "left_semi")), True)
-        again = again.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        more = _verified(again, sets).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        joined = connected_components(links.union(more))
+    sizes = clusters.join(nodes, "node").groupBy("component").agg(F.count("*").alias("_count"), F.sum("n").alias("_units"))
+    placed = _blocks(clusters.join(sizes, "component"), F.col("_count"), F.col("_units"))
+    sets = map_batches(whole, run, "node long, units array<long>").dropDuplicates(["node"])
+    exact = _streamed(sets.join(placed, "node"), ["component", "i", "j"], ["node", "units"], _exact_edges)
+    joined = connected_components(exact)
     labelled = made.join(joined, "node", "left").withColumn("_class", F.coalesce("component", "node"))
     sizes = labelled.where(F.col("_class").isNotNull()).groupBy("_class").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")
@@ -329,7 +326,8 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = near_classes(docs, id_col, text_col)
     gone = classes.where(F.col("doc_id") != F.col("class_id"))
     again = classes.where(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    keep = docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    keyed = packed(docs, doc_id=F.col(f"`{id_col}`").cast("long"))
+    keep = keyed.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select("_row.*")
     if again.where("_rows > 1").isEmpty():
         return keep
     return keep.dropDuplicates()
