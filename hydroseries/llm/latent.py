@@ -63,9 +63,9 @@ def inverse_frequencies(rows: DataFrame) -> np.ndarray:
     def run(batches):
         ids, sums = WordIds(term), np.zeros(TERMS + 1, dtype=np.int64)
         for (text,) in rows_of(batches, "text"):
-            found = [ids[w] for w in set(words_of(text))]
+            found = {ids[w] for w in set(words_of(text))}
             if found:
-                sums[np.unique(np.array(found))] += 1
+                sums[list(found)] += 1
             sums[TERMS] += 1
         at = np.flatnonzero(sums)
         yield {"at": at.astype(np.int32), "n": sums[at]}
@@ -100,64 +100,64 @@ def item_passages(benchmark: DataFrame, idf: np.ndarray, id_col: str, text_col:
     return cut_lineage(map_batches(texts(benchmark, id_col, text_col), run, schema))
 
 
-def _gram_product(passages: DataFrame, m: np.ndarray) -> np.ndarray:
-    """transpose(A) A m for the matrix A of passages: each task adds up its rows, Spark sums by term."""
-    shared = passages.sparkSession.sparkContext.broadcast(m)
+def _gram_product(passages: DataFrame, m: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """transpose(A) A m for the matrix A of passages over ``terms``: each task adds up its rows, Spark sums by term."""
+    shared = passages.sparkSession.sparkContext.broadcast((m, terms))
     parts = -(-m.shape[1] // _PART)
 
     def run(batches):
-        m = shared.value
-        sums: dict[int, np.ndarray] = {}
+        m, terms = shared.value
+        z = np.zeros((len(terms), parts * _PART))
         for at, v in rows_of(batches, "at", "v"):
-            y = np.asarray(v) @ m[at]
-            for t, x in zip(at, v):
-                sums[t] = sums.get(t, 0) + x * y
-        at = np.array(list(sums), dtype=np.int32)
-        z = np.zeros((len(at), parts * _PART))
-        if len(at):
-            z[:, : m.shape[1]] = np.stack(list(sums.values()))
-        z = np.rint(z.reshape(len(at) * parts, _PART) * 1e9).astype(np.int64)  # whole numbers sum alike in any order
+            at, v = np.searchsorted(terms, at), np.asarray(v)
+            z[at, : m.shape[1]] += np.outer(v, v @ m[at])
+        used = np.flatnonzero(z.any(axis=1)).astype(np.int32)
+        whole = np.rint(z[used].reshape(len(used) * parts, _PART) * 1e9).astype(np.int64)  # sums alike in any order
         yield {
-            "at": np.repeat(at, parts), "part": np.tile(np.arange(parts, dtype=np.int32), len(at)),
-            **{f"z{k}": z[:, k] for k in range(_PART)},
+            "at": np.repeat(used, parts), "part": np.tile(np.arange(parts, dtype=np.int32), len(used)),
+            **{f"z{k}": whole[:, k] for k in range(_PART)},
         }
 
     names = [f"z{k}" for k in range(_PART)]
     summed = map_batches(passages.select("at", "v"), run, "at int, part int, " + ", ".join(f"{c} long" for c in names))
     got = summed.groupBy("at", "part").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
     shared.unpersist()
-    out = np.zeros((TERMS, parts, _PART))
+    out = np.zeros((len(terms), parts, _PART))
     out[got["at"].to_numpy(), got["part"].to_numpy()] = got[names].to_numpy() / 1e9
-    return out.reshape(TERMS, parts * _PART)[:, : m.shape[1]]
+    return out.reshape(len(terms), parts * _PART)[:, : m.shape[1]]
 
 
-def latent_space(passages: DataFrame, rank: int = 128, rounds: int = 2, seed: int = 5) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the passages' matrix, by randomised subspace iteration."""
+def latent_space(passages: DataFrame, rank: int = 128, rounds: int = 2, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The terms in use and the right singular vectors over them (terms x rank), by randomised subspace iteration.
+
+    Terms are hashed, so there are ``TERMS`` of them at most, whatever the benchmark's size.
+    """
+    terms = passages.select(F.explode("at").alias("at")).distinct().toPandas()["at"].sort_values().to_numpy(dtype=np.int64)
     count = passages.count()
     rank = min(rank, count)
     if not rank:
-        return np.zeros((TERMS, 0))
-    start = np.random.default_rng(seed).standard_normal((TERMS, min(rank + 16, count)))
-    basis = start
+        return terms, np.zeros((len(terms), 0))
+    basis = np.random.default_rng(seed).standard_normal((len(terms), min(rank + 16, count, len(terms))))
     for _ in range(rounds):
-        basis, _ = np.linalg.qr(_gram_product(passages, basis))
-    inner = basis.T @ _gram_product(passages, basis)
+        basis, _ = np.linalg.qr(_gram_product(passages, basis, terms))
+    inner = basis.T @ _gram_product(passages, basis, terms)
     values, turn = np.linalg.eigh((inner + inner.T) / 2)
     keep = np.argsort(-values)[:rank]
-    return basis @ turn[:, keep[values[keep] > 1e-9]]
+    return terms, basis @ turn[:, keep[values[keep] > 1e-9]]
 
 
 class Searcher:
     """Finds the benchmark passages in texts. Holds the items' words and latent vectors, and the folded terms."""
 
-    def __init__(self, items: list[tuple[int, list[bytes], np.ndarray, np.ndarray]], space: np.ndarray, idf: np.ndarray,
-                 cosine: float, sure: float, likely: float, answer: float):
+    def __init__(self, items: list[tuple[int, list[bytes], np.ndarray, np.ndarray]], terms: np.ndarray, space: np.ndarray,
+                 idf: np.ndarray, cosine: float, sure: float, likely: float, answer: float):
         self.limit, self.sure, self.likely, self.answer = cosine, sure, likely, answer
         self.items = [(i, w) for i, w, _, _ in items]
-        fold = (space * idf[:, None]).astype(np.float32)
-        self.fold = np.concatenate([fold, np.zeros((1, fold.shape[1]), np.float32)])  # the last row pads
-        self.squares = np.concatenate([idf ** 2, [0]])
-        q = np.array([np.asarray(v) @ space[at] for _, _, at, v in items]).reshape(len(items), space.shape[1])
+        self.fold = (space * idf[terms, None]).astype(np.float32)
+        self.slot = np.full(TERMS + 1, -1, dtype=np.int32)  # the last one pads; other terms are in no item
+        self.slot[terms] = np.arange(len(terms))
+        self.squares = np.concatenate([idf ** 2, [0]]).astype(np.float32)
+        q = np.array([np.asarray(v) @ space[np.searchsorted(terms, at)] for _, _, at, v in items]).reshape(len(items), space.shape[1])
         norm = np.linalg.norm(q, axis=1, keepdims=True)
         self.queries = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0).astype(np.float32)
 
@@ -186,15 +186,22 @@ class Searcher:
         n = len(owner)
         place = np.arange(n)
         stop = first + sizes
-        latent = np.zeros((n + 1, self.fold.shape[1]))
+        latent = np.zeros((n + 1, self.fold.shape[1]), dtype=np.float32)
         norms = np.zeros(n + 1)
-        np.cumsum(self.fold[flat].reshape(n, BLOCK, -1).sum(axis=1), axis=0, out=latent[1:])
+        slots = self.slot[flat]
+        used = np.flatnonzero(slots >= 0)
+        if not len(used):
+            return
+        block = used // BLOCK
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        latent[block[starts] + 1] = np.add.reduceat(self.fold[slots[used]], starts, axis=0)
+        np.cumsum(latent, axis=0, out=latent)
         np.cumsum(self.squares[flat].reshape(n, BLOCK).sum(axis=1), out=norms[1:])
         for width in WIDTHS:
             over = np.minimum(place + width, stop)
             v = latent[over] - latent[place]
             size = np.sqrt(norms[over] - norms[place])
-            near = np.flatnonzero(np.linalg.norm(v, axis=1) >= self.limit * size)  # no cosine can be larger
+            near = np.flatnonzero(np.einsum("ij,ij->i", v, v) >= (self.limit * size) ** 2)  # no cosine can be larger
             near = near[size[near] > 0]
             if not len(near):
                 continue
@@ -228,12 +235,12 @@ def build_searcher(
     """``rows`` as from ``common.texts``. The benchmark is a table of items that fits a task; documents are never collected."""
     idf = inverse_frequencies(rows)
     passages = item_passages(benchmark, idf, item_col, item_text)
-    space = latent_space(passages, rank)
+    terms, space = latent_space(passages, rank)
     found = sorted(
         ((r["item_id"], [bytes(w) for w in r["words"]], np.array(r["at"]), np.array(r["v"])) for r in passages.collect()),
         key=lambda r: (r[0] is None, r[0] or 0, r[1]),
     )
-    return Searcher(found, space, idf, cosine, sure, likely, answer)
+    return Searcher(found, terms, space, idf, cosine, sure, likely, answer)
 
 
 def _groups(words: list[list[bytes]], most: int = 24_000) -> Iterator[list[list[bytes]]]:

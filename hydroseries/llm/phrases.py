@@ -5,8 +5,8 @@
 2. Confirm. Those windows are grouped by their hash; one that occurs in several documents belongs to the smallest of
    them, and neighbouring windows of one owner make a passage.
 3. Locate. Passages are dealt into shards of bounded size. Per shard an Aho-Corasick automaton over words is compiled from
-   the passages' pieces of 25 words (every window of a passage holds one whole piece). Documents stream through the shards
-   with which they share an anchor; where a piece ends, the windows around it are compared with the passage word for word.
+   the passages' pieces of 25 words (every window of a passage holds one whole piece). Of every document, the stretches
+   that share an anchor with a shard stream through it; where a piece ends, the windows around it are compared with the passage word for word.
 """
 
 from __future__ import annotations
@@ -129,7 +129,7 @@ def _passages(owned: DataFrame, found: DataFrame, shards: int) -> DataFrame:
                     first, last = int(run_[k]), int(run_[min(k + CHUNK, len(run_)) - 1])
                     part = words[first : last + SPAN]
                     packed = _pack(b" ".join(part))
-                    shard = hash64(b"%d %d" % (doc, first)) % shards
+                    shard = hash64(b"%d %d" % (doc, first // SHARD_WORDS)) % shards
                     own = signed(np.unique(fps[first : last + 1]))
                     out.add(shard, doc, packed, own, size=len(packed) + 8 * len(own))
             if out.full():
@@ -198,26 +198,55 @@ class Shard:
         return out
 
 
+def _stretches(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """shard, doc, node, first, z: the parts of a document whose windows have an anchor of the shard, cut out in one pass.
+
+    ``wanted``: doc, node, routes (pairs of anchor and shard).
+    """
+
+    def run(batches):
+        ids, out = WordIds(hash64), Buffer("shard", "doc", "node", "first", "z")
+        for doc, node, z, routes in rows_of(batches, "doc", "node", "z", "routes"):
+            words = _unpack(z)
+            fps = signed(anchors(words, ids))
+            keys = np.array([r["fp"] for r in routes])
+            shards = np.array([r["shard"] for r in routes])
+            at = np.flatnonzero(np.isin(fps, keys))
+            for shard in np.unique(shards).tolist():
+                own = at[np.isin(fps[at], keys[shards == shard])]
+                for run_ in np.split(own, np.flatnonzero(np.diff(own) > SPAN) + 1):
+                    first = int(run_[0])
+                    packed = _pack(b" ".join(words[first : int(run_[-1]) + SPAN]))
+                    out.add(shard, doc, node, first, packed, size=len(packed) + 40)
+            if out.full():
+                yield out.take()
+        yield out.take()
+
+    joined = wanted.join(found.select("doc", "node", "z"), ["doc", "node"])
+    return map_batches(joined, run, "shard int, doc long, node long, first int, z binary")
+
+
 def _locate(passages: DataFrame, found: DataFrame) -> DataFrame:
     """doc, node, spans: where documents repeat passages of smaller ones, per shard."""
     routes = passages.select("shard", "doc", F.explode("fps").alias("fp")).groupBy("fp", "shard").agg(F.min("doc").alias("owner"))
     wanted = found.select("doc", "node", F.explode("fps").alias("fp")).join(routes, "fp").where(F.col("owner") < F.col("doc"))
-    wanted = wanted.select("doc", "node", "shard").distinct()
-    streams = cut_lineage(wanted.join(found.select("doc", "node", "z"), ["doc", "node"]))
+    wanted = wanted.groupBy("doc", "node").agg(F.collect_list(F.struct("fp", "shard")).alias("routes"))
+    streams = cut_lineage(_stretches(found, wanted))
     # A shard that very many documents meet is given to several tasks, each with a share of the documents.
     salts = streams.groupBy("shard").agg(F.ceil(F.sum(F.length("z")) * 3 / STREAM_BYTES).cast("int").alias("salts"))
     docs = streams.join(salts, "shard").select(
-        "shard", F.pmod(F.xxhash64("doc", "node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc", "node", "z"
+        "shard", F.pmod(F.xxhash64("doc", "node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc", "node",
+        "first", "z",
     )
     parts = passages.join(salts, "shard").select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "doc",
-        F.lit(0).cast("long").alias("node"), "z",
+        F.lit(0).cast("long").alias("node"), F.lit(0).alias("first"), "z",
     )
     dealt = docs.unionByName(parts).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
     def run(batches):
         out, key, held, shard = Buffer("doc", "node", "spans"), None, [], None
-        for number, salt, kind, doc, node, z in rows_of(batches, "shard", "salt", "kind", "doc", "node", "z"):
+        for number, salt, kind, doc, node, first, z in rows_of(batches, "shard", "salt", "kind", "doc", "node", "first", "z"):
             if (number, salt) != key:
                 key, held, shard = (number, salt), [], None
             if kind == 0:
@@ -227,7 +256,7 @@ def _locate(passages: DataFrame, found: DataFrame) -> DataFrame:
                 shard, held = Shard(held), []
             spans = shard.covered(doc, _unpack(z))
             if spans:
-                out.add(doc, node, [y for s in spans for y in s], size=8 * len(spans))
+                out.add(doc, node, [first + y for s in spans for y in s], size=8 * len(spans))
             if out.full():
                 yield out.take()
         yield out.take()
