@@ -163,7 +163,7 @@ def f12_power_to_db(spark, sf_dir):
 
 # Cell centres in degrees; land is what lies in one of the districts.
 LAND_SQL = "land AS (SELECT row, col, place FROM (SELECT row, col, 106.60 + col * 0.012::DOUBLE AS lon, -6.36 + row * 0.0072::DOUBLE AS lat FROM db) JOIN d0 ON lon > x0 AND lon < x1 AND lat > y0 AND lat < y1)"
-D0 = "d0(place, x0, y0, x1, y1) AS (VALUES " + ", ".join(f"('{n}', {a}, {b}, {c}, {d})" for n, a, b, c, d in SHAPES[:2]) + ")"
+D0 = "d0(place, x0, y0, x1, y1) AS (VALUES " + ", ".join(f"('{n}', {a}, {b}, {c}, {d})" for n, a, b, c, d in SHAPES) + ")"
 FLOOD_SQL = f"""{RADAR}, {GRID}, {D0}, {LAND_SQL}, dl AS (SELECT db.* FROM db JOIN land USING (row, col)), {_otsu('dl')},
     fm AS (SELECT l.row, l.col, l.place FROM land l JOIN db USING (row, col) JOIN ref r USING (row, col) JOIN z USING (row, col), t_dl
            WHERE db.value < t_dl.thr AND NOT coalesce(r.value < -19, false) AND NOT coalesce(z.value <= 0.3, false))"""
@@ -172,7 +172,7 @@ FLOOD_SQL = f"""{RADAR}, {GRID}, {D0}, {LAND_SQL}, dl AS (SELECT db.* FROM db JO
 def _flood(spark, sf_dir):
     db = radar(spark, sf_dir)
     polygons = spark.createDataFrame(
-        [(n, [(a, b), (c, b), (c, d), (a, d)]) for n, a, b, c, d in SHAPES[:2]], "place string, ring array<struct<x:double,y:double>>"
+        [(n, [(a, b), (c, b), (c, d), (a, d)]) for n, a, b, c, d in SHAPES], "place string, ring array<struct<x:double,y:double>>"
     )
     centre = db.select("row", "col", (F.lit(106.60) + F.col("col") * 0.012).alias("lon"), (F.lit(-6.36) + F.col("row") * 0.0072).alias("lat"))
     land = points_in_polygons(centre, polygons, "place").where(F.col("place").isNotNull()).select("row", "col", "place")
@@ -261,11 +261,11 @@ def r13_w13_event_scenes(spark, sf_dir):
     return rounded(sc.event_scenes(scene_table(spark, sf_dir), peaks(spark)), "gap_hours")
 
 
-RAIN_H = "rn AS (SELECT date_trunc('hour', ts) AS ts, round(avg(value), 9) AS rain_mm FROM events WHERE event_type = 'view' AND value > 40 GROUP BY 1)"
+RAIN_H = "rn AS (SELECT date_trunc('hour', ts) AS ts, round(avg(value), 9) AS rain_mm FROM events WHERE event_type = 'view' GROUP BY 1)"
 
 
 def _rain(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where((F.col("event_type") == "view") & (F.col("value") > 40))
+    e = table(spark, sf_dir, "events").where(F.col("event_type") == "view")
     return e.groupBy(tp.hour_of(F.col("ts")).alias("ts")).agg(F.round(F.avg("value"), 9).alias("rain_mm"))
 
 

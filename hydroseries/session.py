@@ -38,11 +38,14 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a temporary folder of this machine is used.
+    (tests, a laptop) a temporary folder of this machine is used, and only by a local
+    master: executors of a cluster would each write to their own disk.
     """
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)

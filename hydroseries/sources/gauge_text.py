@@ -48,11 +48,11 @@ def parse_gauge_text(df: DataFrame, keys: list[str], raw: str = "raw", mode: str
     )
     ok = F.col("ts").isNotNull() & F.col("_num").isNotNull()
     bad = pieces.where(~ok).select(*keys, "piece", F.lit("bad point").alias("reason"))
-    whole = df.where(~has_bar).select(*keys, F.left(text, F.lit(200)).alias("piece"), F.lit("no bar").alias("reason"))
+    whole = df.where(~has_bar).select(*keys, text.alias("piece"), F.lit("no bar").alias("reason"))
     if mode == "strict":
         fail = F.raise_error(F.concat(F.lit("bad data point: "), "piece")).cast("boolean")
         pieces = pieces.where(F.when(~ok, fail).otherwise(True))
-        no_bar = F.raise_error(F.concat(F.lit("unexpected text: "), F.left(text, F.lit(200)))).cast("boolean")
+        no_bar = F.raise_error(F.concat(F.lit("unexpected text: "), text)).cast("boolean")
         shape = df.where(F.when(~has_bar, no_bar).otherwise(False)).select(
             *keys, F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("double").alias("_num")
         )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ def decode_hourly_grids(
             for when, content in zip(batch["ts"], batch["content"]):
                 try:
                     grid = np.frombuffer(gzip.decompress(content), dtype="<f4").reshape(n_lat, n_lon)
-                except (OSError, EOFError, ValueError):
+                except (OSError, EOFError, ValueError, zlib.error):  # a damaged file is a missing hour
                     continue
                 part = grid[row0 : row1 + 1, col0 : col1 + 1].astype("float64")
                 mm = pd.Series(part.ravel()).where(part.ravel() >= 0)
