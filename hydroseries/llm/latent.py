@@ -10,6 +10,7 @@ too: changed, missing or added words lower the measure and do not break it.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,6 +166,8 @@ class Searcher:
         """What is cheaper to make in a task than to send there."""
         self.ids = WordIds(term)
         self.masks = [place_masks(w) for _, w in self.items]
+        self.bags = [Counter(w) for _, w in self.items]
+        self.sets = [frozenset(w) for _, w in self.items]
         self.tails = [w[-max(1, len(w) // 3) :] for _, w in self.items]
         self.tail_masks = [place_masks(t) for t in self.tails]
 
@@ -217,6 +220,10 @@ class Searcher:
             item, words = self.items[q]
             n = len(words)
             region = batch[k][max(0, at - n // 2 - BLOCK // 2) : at + size + n // 2 + BLOCK // 2]
+            # No subsequence can be longer than the item's words that are there at all.
+            bag = self.bags[q]
+            if sum(bag[w] for w in self.sets[q].intersection(region)) < self.likely * n:
+                continue
             part = common_length(self.masks[q], n, region) / n
             if part < self.likely:
                 continue
