@@ -237,11 +237,17 @@ class Searcher:
 
 def build_searcher(
     rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", rank: int = 128, cosine: float = 0.35,
-    sure: float = 0.75, likely: float = 0.6, answer: float = 0.75,
+    sure: float = 0.75, likely: float = 0.6, answer: float = 0.75, most: int = 100_000,
 ) -> Searcher:
-    """``rows`` as from ``common.texts``. The benchmark is a table of items that fits a task; documents are never collected."""
+    """``rows`` as from ``common.texts``; documents are never collected.
+
+    The benchmark's passages are, up to ``most`` of them (64 words each). A larger benchmark is refused before anything is
+    collected: search it in parts.
+    """
     idf = inverse_frequencies(rows)
     passages = item_passages(benchmark, idf, item_col, item_text)
+    if (found := passages.count()) > most:
+        raise ValueError(f"the benchmark has {found} passages, more than {most}: search it in parts")
     terms, space = latent_space(passages, rank)
     found = sorted(
         ((r["item_id"], [bytes(w) for w in r["words"]], np.array(r["at"]), np.array(r["v"])) for r in passages.collect()),
