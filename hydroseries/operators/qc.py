@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,14 +26,15 @@ def drop_repeated_times(df: DataFrame, keys: Sequence[str], ts: str, tie: str) -
 
 
 def flag_repeated_times(df: DataFrame, keys: Sequence[str], ts: str, tie: str, out: str = "is_copy") -> DataFrame:
-    """True for all rows of a key and time but the first by ``tie``.
+    """True for all rows of a key and time but the first by ``tie``; missing keys or times equal each other.
 
     The first copy comes from an aggregate, so a time with very many copies is folded
     before the shuffle; the join back is one adaptive execution can split.
     """
-    # Its own exchange, directly under the join: adaptive execution only splits such sides.
-    first = df.groupBy(*keys, ts).agg(F.min(tie).alias("_first")).repartition(*keys, ts)
-    return df.join(first, [*keys, ts]).select(*df.columns, (F.col(tie) != F.col("_first")).alias(out))
+    first = df.groupBy(*keys, ts).agg(F.min(tie).alias("_first"))
+    first = first.select("_first", *[F.col(c).alias(f"_of_{c}") for c in (*keys, ts)])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, ts)])
+    return df.join(first, same).select(*df.columns, (~F.col(tie).eqNullSafe(F.col("_first"))).alias(out))
 
 
 def _instants(df: DataFrame, part: Sequence[str], ts: str, tie: str) -> DataFrame:
@@ -133,7 +135,8 @@ def point_qc(
     """Add the flag to every row. ``tie`` orders rows of equal time and must be unique there.
 
     ``calibration``: ``series_year`` computes percentiles, runs and rates inside one key and
-    year of ``ts`` (local time), ``series`` over the whole key.
+    year of ``ts`` (local time), ``series`` over the whole key. A row without key or time gets flag 1
+    and takes no part in the limits, runs and rates of others.
     """
     keys = list(keys)
     year = F.year(ts) if calibration == "series_year" else F.lit(0)
@@ -141,11 +144,13 @@ def point_qc(
     rows = df.withColumns(
         {"_cal": year, "_chunk": tp.day_number(F.col(ts)), "_v": nan_to_null(F.col(value))}
     )
-    inst = _instants(rows, part, ts, tie)
+    lost = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in (*keys, ts)])
+    placed = rows.where(~lost)
+    inst = _instants(placed, part, ts, tie)
 
     runs = _runs_and_rates(inst, part, ts)
 
-    limits = exact_quantiles(rows, part, F.col("_v"), {"_lo": 0.001, "_hi": 0.999}, "_n_v", "_n")
+    limits = exact_quantiles(placed, part, F.col("_v"), {"_lo": 0.001, "_hi": 0.999}, "_n_v", "_n")
     rates = exact_quantiles(runs, part, F.col("_rate"), {"_rate_max": 0.999}, "_n_rate")
     limits = limits.join(rates, part, "left")
 
@@ -159,11 +164,11 @@ def point_qc(
     )
     spike = holds((F.col("_n_rate") >= min_obs) & (F.col("_rate") > F.col("_rate_max")))
     flag = (
-        F.when(bad_value, 1)
+        F.when(lost | bad_value, 1)
         .when(F.col(tie) != F.col("_tie"), 4)
         .when(F.col("_stuck"), 2)
         .when(spike, 3)
         .otherwise(0)
     )
-    joined = join_per_key(rows.join(marks, [*part, "_chunk", ts]), limits, part, spread=ts)
+    joined = join_per_key(rows.join(marks, [*part, "_chunk", ts], "left"), limits, part, spread=ts)
     return joined.select(*df.columns, flag.cast("tinyint").alias(out))

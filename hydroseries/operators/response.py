@@ -11,7 +11,7 @@ from hydroseries.functions import timeparts as tp
 from hydroseries.operators.frames import in_blocks, join_per_key
 from hydroseries.operators.quantiles import medians
 from hydroseries.operators.scores import in_windows
-from hydroseries.operators.windows import positioned
+from hydroseries.operators.windows import positioned, shifted
 
 
 def lag_correlation(
@@ -21,11 +21,11 @@ def lag_correlation(
     """corr(target(t), driver(t - lag)) for lag 0..max_lag; NULL below ``min_pairs`` pairs.
 
     Lags are taken inside bounded blocks; the exploded pairs are folded to moments before
-    any shuffle.
+    any shuffle. A lag counts rows, with ``strict_time`` hours (an absent hour gives no pair).
     """
 
     def lags(c):
-        return lambda w: F.array(F.col(c), *[F.lag(c, k).over(w) for k in range(1, max_lag + 1)])
+        return lambda w: F.array(*[shifted(c, -k, strict_time)(w) for k in range(max_lag + 1)])
 
     out = in_blocks(
         positioned(df, keys, ts, strict_time), keys, "pos", {f"_{n}": lags(c) for n, c in drivers.items()}, before=max_lag

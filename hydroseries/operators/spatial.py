@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydroseries.functions.geo import haversine_km, inside_ring
-from hydroseries.operators.frames import join_per_key
+from hydroseries.functions.geo import EARTH_KM, haversine_km, inside_ring
+from hydroseries.operators.frames import join_per_key, scan_series
 
 KM_PER_DEGREE = 110.0  # a little below the true value, so that cells are never too small
 
@@ -30,17 +31,30 @@ def spread_cells(df: DataFrame, cx: Column, cy: Column) -> DataFrame:
 
 
 def within_km(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon: str = "lon",
-              lat_r: str = "r_lat", lon_r: str = "r_lon", max_abs_lat: float = 60.0) -> DataFrame:
+              lat_r: str = "r_lat", lon_r: str = "r_lon") -> DataFrame:
     """Pairs within ``km`` (great circle), with ``dist_km``. The left, smaller side is repeated nine times.
 
-    Cells are ``km`` high and at least ``km`` wide up to ``max_abs_lat`` degrees.
+    Rows of cells are ``km`` high; each row is cut into as many equal cells around the globe as are wide enough
+    for ``km`` at its latitude, so no pair is lost near the poles or over the antimeridian.
     """
-    import math
-
     size = km / KM_PER_DEGREE
-    wide = size / math.cos(math.radians(max_abs_lat))
-    l = spread_cells(left, _cell(F.col(lon), wide), _cell(F.col(lat), size))
-    r = right.withColumns({"_cx": _cell(F.col(lon_r), wide), "_cy": _cell(F.col(lat_r), size)})
+    half = math.sin(min(km / (2 * EARTH_KM), math.pi / 2))
+
+    def around(row: Column) -> Column:
+        """Cells in a row: none is narrower than the longitudes of a pair that touches the row can lie apart."""
+        far = F.least(F.lit(90.0), F.greatest(F.abs(row - 1), F.abs(row + 2)) * size)
+        apart = 2 * F.asin(F.least(F.lit(1.0), F.lit(half) / F.greatest(F.cos(F.radians(far)), F.lit(1e-12))))
+        return F.greatest(F.lit(1), F.floor(2 * math.pi / (apart * (1 + 1e-9)))).cast("long")
+
+    def place(at: Column, n: Column) -> Column:
+        return F.least(F.floor(F.pmod(at.cast("double"), F.lit(360.0)) / 360.0 * n).cast("long"), n - 1)
+
+    l = left.withColumn("_cy", F.explode(F.transform(neighbours(), lambda d: _cell(F.col(lat), size) + d)))
+    l = l.withColumns({"_n": around(F.col("_cy"))}).withColumns({"_at": place(F.col(lon), F.col("_n"))})
+    beside = F.array_distinct(F.transform(neighbours(), lambda d: F.pmod(F.col("_at") + d, F.col("_n"))))
+    l = l.withColumn("_cx", F.explode(beside)).drop("_n", "_at")
+    r = right.withColumn("_cy", _cell(F.col(lat_r), size))
+    r = r.withColumn("_cx", place(F.col(lon_r), around(F.col("_cy"))))
     d = haversine_km(F.col(lat), F.col(lon), F.col(lat_r), F.col(lon_r))
     return l.join(r, ["_cx", "_cy"]).withColumn("dist_km", d).where(F.col("dist_km") <= km).drop("_cx", "_cy")
 
@@ -89,18 +103,22 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, name: str, ring:
 
 
 def nearest_axis_value(points: DataFrame, axis: DataFrame, key: str, at: str, value: str, step: float, out: str) -> DataFrame:
-    """Nearest value of a regular axis to a coordinate; the smaller value on ties.
+    """Nearest value of an axis to a coordinate; the smaller value on ties. Points beyond the axis get its nearer end.
 
-    The axis is regular with spacing ``step``, so only the three bins around the
-    coordinate need to be looked at; points further than a step from the axis get the
-    nearer end of it.
+    The axis has a spacing of about ``step`` and may have holes: each bin of that width knows the values of the
+    axis intervals that touch it, so a point meets the few candidates of its own bin.
     """
     ends = axis.agg(F.struct(F.min(value).alias("first"), F.max(value).alias("last"))).scalar()
     inside = F.greatest(F.least(F.col(at), F.col("_ends.last")), F.col("_ends.first"))
     # A point without coordinate has no place on the axis.
     p = points.select(key, at).where(F.col(at).isNotNull()).withColumn("_ends", ends).withColumn("_want", inside)
-    p = p.withColumn("_bin", F.explode(F.transform(neighbours(), lambda d: _cell(F.col("_want"), step) + d)))
-    a = axis.select(F.col(value).alias("_v")).distinct().withColumn("_bin", _cell(F.col("_v"), step))
+    p = p.withColumn("_bin", _cell(F.col("_want"), step))
+    a = axis.select(F.col(value).alias("_low")).where(F.col("_low").isNotNull()).distinct()
+    a = a.withColumns({"_axis": F.lit(0), "_from": _cell(F.col("_low"), step)}).withColumn("_chunk", F.floor(F.col("_from") / 1024))
+    a = scan_series(a, ["_axis"], "_chunk", ["_low"], next={"_high": F.col("_low")})
+    a = a.withColumns({"_high": F.coalesce("_high", "_low")})
+    a = a.withColumn("_bin", F.explode(F.sequence(F.col("_from"), _cell(F.col("_high"), step))))
+    a = a.select("_bin", F.explode(F.array("_low", "_high")).alias("_v")).distinct()
     best = p.join(a, "_bin").groupBy(key).agg(F.min_by("_v", F.struct(F.abs(F.col("_v") - F.col(at)), F.col("_v"))).alias(out))
     return points.join(best, key, "left")
 

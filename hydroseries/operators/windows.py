@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydroseries.functions import timeparts as tp
@@ -14,14 +14,27 @@ from hydroseries.operators.frames import in_blocks, with_position
 def positioned(df: DataFrame, keys: Sequence[str], ts: str, strict_time: bool) -> DataFrame:
     """Adds ``pos``: the hour number (``strict_time``) or the row number in the series.
 
-    Row numbers join unrelated hours across a missing stretch, hour numbers never do,
-    provided the grid is complete.
+    Row numbers join unrelated hours across a missing stretch. Hour numbers never do: frames over them
+    (``shifted``, ``span``) count hours, and an hour without a row is missing.
     """
     if strict_time:
         return df.withColumn("pos", tp.hour_number(F.col(ts)))
     return with_position(df.withColumn("_chunk", tp.day_number(F.col(ts))), keys, "_chunk", [ts], "pos").drop("_chunk")
 
 
+def shifted(column: str, by: int, strict_time: bool) -> Callable[[object], Column]:
+    """The column ``by`` rows later, or with ``strict_time`` at the position exactly ``by`` hours later (NULL if it has no row)."""
+    if by == 0:
+        return lambda w: F.col(column)
+    if strict_time:
+        return lambda w: F.max(column).over(w.rangeBetween(by, by))
+    return lambda w: (F.lead(column, by) if by > 0 else F.lag(column, -by)).over(w)
+
+
+def span(w, first: int, last: int, strict_time: bool):
+    return w.rangeBetween(first, last) if strict_time else w.rowsBetween(first, last)
+
+
 def make_windows(
     df: DataFrame,
     keys: Sequence[str],
@@ -40,7 +53,8 @@ def make_windows(
     ``history`` is an array of structs of target, ``known`` and ``driver`` over the history.
     ``known`` is a driver known ahead, its value at the target time is ``known_future``.
     ``extra`` adds the value 24 hours before the target, the change of ``known`` and the
-    last value; it needs ``horizon <= 24``.
+    last value; it needs ``horizon <= 24``. Steps are rows, with ``strict_time`` hours: then a window
+    with an absent hour is left out like one with a missing value. At most one row per series and hour.
     """
     if extra and horizon > 24:
         raise ValueError("the 24-hour persistence inputs need horizon <= 24")
@@ -48,16 +62,16 @@ def make_windows(
     back = 24 - h
 
     cols = {
-        "history": lambda w: F.collect_list(F.struct(target, known, driver)).over(w.rowsBetween(1 - L, 0)),
-        "_n": lambda w: F.least(*[F.count(c).over(w.rowsBetween(1 - L, 0)) for c in (target, known, driver)]),
-        "_flags": lambda w: F.max(flag).over(w.rowsBetween(1 - L, 0)),
-        "target_ts": lambda w: F.lead(ts, h).over(w),
-        "y": lambda w: F.lead(target, h).over(w),
-        "known_future": lambda w: F.lead(known, h).over(w),
-        "qc_target": lambda w: F.lead(flag, h).over(w),
+        "history": lambda w: F.collect_list(F.struct(target, known, driver)).over(span(w, 1 - L, 0, strict_time)),
+        "_n": lambda w: F.least(*[F.count(c).over(span(w, 1 - L, 0, strict_time)) for c in (target, known, driver)]),
+        "_flags": lambda w: F.max(flag).over(span(w, 1 - L, 0, strict_time)),
+        "target_ts": shifted(ts, h, strict_time),
+        "y": shifted(target, h, strict_time),
+        "known_future": shifted(known, h, strict_time),
+        "qc_target": shifted(flag, h, strict_time),
     }
     if extra:
-        cols["y_day_before"] = lambda w: F.lag(target, back).over(w) if back > 0 else F.col(target)
+        cols["y_day_before"] = shifted(target, -back, strict_time)
     out = in_blocks(positioned(df, keys, ts, strict_time), keys, "pos", cols, before=max(L - 1, back), after=h)
     ok = (F.col("_n") == L) & F.col("y").isNotNull() & F.col("known_future").isNotNull()
     picked = [
@@ -73,19 +87,16 @@ def make_windows(
 def baseline_forecast(
     df: DataFrame, keys: Sequence[str], ts: str, target: str, horizon: int, strict_time: bool = True
 ) -> DataFrame:
-    """For each time t: y(t+h), persistence y(t), day-before y(t+h-24) and the residual against the latter."""
+    """For each time t: y(t+h), persistence y(t), day-before y(t+h-24) and the residual against the latter.
+
+    Hours by ``strict_time``: times without a row at t+h are left out, an absent day-before is NULL.
+    """
     h = int(horizon)
     back = 24 - h
-
-    def day_before(w):
-        if back > 0:
-            return F.lag(target, back).over(w)
-        return F.lead(target, -back).over(w) if back < 0 else F.col(target)
-
     cols = {
-        "target_ts": lambda w: F.lead(ts, h).over(w),
-        "y": lambda w: F.lead(target, h).over(w),
-        "day_before": day_before,
+        "target_ts": shifted(ts, h, strict_time),
+        "y": shifted(target, h, strict_time),
+        "day_before": shifted(target, -back, strict_time),
     }
     out = in_blocks(positioned(df, keys, ts, strict_time), keys, "pos", cols, before=max(back, 0), after=max(h, -back))
     return out.where(F.col("target_ts").isNotNull()).select(

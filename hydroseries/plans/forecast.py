@@ -66,6 +66,32 @@ def q09_make_windows_extra(spark, sf_dir):
     return _windows(spark, sf_dir, 4, 6, True, True)
 
 
+#: Hours taken out of the series, so that steps of rows and of hours differ.
+GAPS = (4, 15)
+
+
+def gappy(df):
+    return df.where(~F.hour("ts").isin(*GAPS))
+
+
+# An absent hour counts like one without values.
+@query("q09_make_windows_gaps", _window_sql(6, 1, False).replace(
+    "FROM f WINDOW", f"FROM (SELECT * REPLACE (CASE WHEN hour(ts) IN {GAPS} THEN NULL ELSE v END AS v) FROM f) WINDOW"))
+def q09_make_windows_gaps(spark, sf_dir):
+    w = windows.make_windows(gappy(forced(spark, sf_dir)), ["k"], "ts", "v", "tide", "rain", "flag", 6, 1, strict_time=True)
+    sums = {f"sum_{n}": F.round(F.aggregate("history", F.lit(0.0), lambda a, s, c=c: a + s[c]), d)
+            for n, c, d in (("v", "v", 6), ("tide", "tide", 9), ("rain", "rain", 6))}
+    return rounded(w.withColumns(sums).drop("history"), "y", "y_last", "known_future")
+
+
+@query("q18_baseline_forecast_gaps", f"""WITH {hourly_sql('user_id')}, r AS (SELECT k, ts, round(v, 6) AS v FROM h)
+    SELECT r.k, r.ts, b.ts AS target_ts, 6::INTEGER AS horizon, b.v AS y, r.v AS persistence, c.v AS day_before, round(b.v - c.v, 6) AS residual
+    FROM r JOIN r b ON b.k = r.k AND b.ts = r.ts + INTERVAL 6 HOUR LEFT JOIN r c ON c.k = r.k AND c.ts = r.ts - INTERVAL 18 HOUR""")
+def q18_baseline_forecast_gaps(spark, sf_dir):
+    h = hourly_events(spark, sf_dir, "user_id").select("k", "ts", F.round("v", 6).alias("v"))
+    return rounded(windows.baseline_forecast(h, ["k"], "ts", "v", 6), "residual")
+
+
 @query("q18_baseline_forecast", f"""WITH {hourly_sql('event_type', True)}
     SELECT k, ts, target_ts, 6::INTEGER AS horizon, y, persistence, day_before, round(y - day_before, 6) AS residual FROM (
       SELECT k, ts, lead(ts, 6) OVER w AS target_ts, round(lead(v, 6) OVER w, 6) AS y, round(v, 6) AS persistence,
@@ -345,6 +371,14 @@ def q15_lag_correlation(spark, sf_dir):
     return rounded(_curve(spark, sf_dir), "corr")
 
 
+@query("q15_lag_correlation_gaps", f"WITH {LAG_SQL} SELECT k, lag_h, var, round(corr, 6) AS corr FROM cv".replace(
+    "FROM f),", f"FROM f WHERE hour(ts) NOT IN {GAPS}),").replace("b.i = a.i - lag_h", "b.ts = a.ts - lag_h * INTERVAL 1 HOUR"))
+def q15_lag_correlation_gaps(spark, sf_dir):
+    f = gappy(forced(spark, sf_dir))
+    out = response.lag_correlation(f, ["k"], "ts", "v", {"tide": "tide", "rain": "rain"}, max_lag=24, strict_time=True)
+    return rounded(out, "corr")
+
+
 @query("q15_best_lag", f"""WITH {LAG_SQL} SELECT k, var, arg_min(lag_h, ROW(-abs(round(corr, 9)), lag_h)) AS lag_h,
     arg_min(round(corr, 6), ROW(-abs(round(corr, 9)), lag_h)) AS corr FROM cv WHERE corr IS NOT NULL GROUP BY 1, 2""")
 def q15_o03_best_lag(spark, sf_dir):

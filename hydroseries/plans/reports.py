@@ -182,6 +182,20 @@ def w01_repeated_times(spark, sf_dir):
     return flag_repeated_times(e, ["user_id"], "day", "event_id").select("event_id", "is_copy")
 
 
+@query("w01_repeated_times_lost", """WITH e AS (SELECT event_id, CASE WHEN event_id % 9 <> 4 THEN user_id END AS u,
+      CASE WHEN event_id % 7 <> 2 THEN date_trunc('day', ts) END AS day FROM events)
+    SELECT event_id, row_number() OVER (PARTITION BY u, day ORDER BY event_id) > 1 AS is_copy FROM e""")
+def w01_repeated_times_lost(spark, sf_dir):
+    """Missing users and times count as equal."""
+    from hydroseries.operators.qc import flag_repeated_times
+
+    n = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(
+        "event_id", F.when(n % 9 != 4, F.col("user_id")).alias("u"), F.when(n % 7 != 2, F.date_trunc("day", "ts")).alias("day")
+    )
+    return flag_repeated_times(e, ["u"], "day", "event_id").select("event_id", "is_copy")
+
+
 @query("w02_runs", """WITH a AS (SELECT user_id AS k, event_id, ts, floor(value / 50) AS v FROM events),
     b AS (SELECT *, CASE WHEN v = lag(v) OVER w THEN 0 ELSE 1 END AS c FROM a WINDOW w AS (PARTITION BY k ORDER BY ts)),
     d AS (SELECT *, sum(c) OVER (PARTITION BY k ORDER BY ts) AS run FROM b)

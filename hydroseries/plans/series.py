@@ -53,6 +53,16 @@ def q01_point_qc(spark, sf_dir):
     return flagged_points(spark, sf_dir).withColumn("qc_flag", F.col("qc_flag").cast("int"))
 
 
+@query("q01_point_qc_lost", f"""WITH {POINTS_SQL.replace('FROM events)', 'FROM events WHERE event_id % 50 NOT IN (7, 11))')},{POINT_QC_SQL}
+    SELECT event_id, qc_flag FROM flagged UNION ALL SELECT event_id, 1::INTEGER FROM events WHERE event_id % 50 IN (7, 11)""")
+def q01_point_qc_lost(spark, sf_dir):
+    """Some points have no key, some no time: they keep their row and get flag 1."""
+    n = F.col("event_id") % 50
+    p = gauge_points(spark, sf_dir).withColumns({"k": F.when(n != 7, F.col("k")), "ts": F.when(n != 11, F.col("ts"))})
+    flags = qc.point_qc(p, ["k"], "ts", "v", "event_id")
+    return flags.select("event_id", F.col("qc_flag").cast("int").alias("qc_flag"))
+
+
 @query(
     "q02_resample_hourly",
     f"""WITH {POINTS_SQL},{POINT_QC_SQL},

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hydroseries.functions import geo
 from hydroseries.operators import crosstab, graph, match, spatial
 from hydroseries.plans.forecast import EVENT_SQL, level3
-from hydroseries.plans.registry import event_windows, forecasts, query, rounded, table
+from hydroseries.plans.registry import SQL, event_windows, forecasts, query, rounded, table
 
 # Customers and suppliers get coordinates by arithmetic on their keys and balances.
 CUST_SQL = """
@@ -39,6 +39,21 @@ def j07_within_km(spark, sf_dir):
     return rounded(out.select("s_suppkey", "c_custkey", "dist_km"), "dist_km")
 
 
+WORLD_SQL = """
+s AS (SELECT s_suppkey, -90 + (s_suppkey * 53 % 97) / 0.54::DOUBLE AS lat, -180 + (s_suppkey * 29 % 101) / 0.28::DOUBLE AS lon FROM supplier),
+c AS (SELECT c_custkey, -90 + (c_custkey * 37 % 1000) / 5.55::DOUBLE AS c_lat, -180 + (c_custkey * 91 % 1009) / 2.8027::DOUBLE AS c_lon FROM customer)"""
+
+
+@query("j07_within_km_world", f"WITH {WORLD_SQL} SELECT s_suppkey, c_custkey, round({HAV}, 4) AS dist_km FROM s, c WHERE {HAV} <= 300")
+def j07_within_km_world(spark, sf_dir):
+    """Points from pole to pole and on both sides of the antimeridian."""
+    k, n = F.col("s_suppkey"), F.col("c_custkey")
+    s = table(spark, sf_dir, "supplier").select(k, (F.lit(-90) + (k * 53 % 97) / 0.54).alias("lat"), (F.lit(-180) + (k * 29 % 101) / 0.28).alias("lon"))
+    c = table(spark, sf_dir, "customer").select(n, (F.lit(-90) + (n * 37 % 1000) / 5.55).alias("c_lat"), (F.lit(-180) + (n * 91 % 1009) / 2.8027).alias("c_lon"))
+    out = spatial.within_km(s, c, 300.0, lat_r="c_lat", lon_r="c_lon")
+    return rounded(out.select("s_suppkey", "c_custkey", "dist_km"), "dist_km", digits=4)
+
+
 @query("f07_haversine", f"WITH {CUST_SQL} SELECT c_custkey, round({HAV}, 6) AS km FROM (SELECT c.*, -6.2::DOUBLE AS lat, 106.8::DOUBLE AS lon FROM c)")
 def f07_haversine(spark, sf_dir):
     c = customers(spark, sf_dir)
@@ -162,6 +177,19 @@ def q23_j12_gridded_to_points(spark, sf_dir):
     return rounded(out, "mm", "grid_mean")
 
 
+Q23_SQL = SQL["q23_gridded_to_points"]
+
+
+@query("q23_gridded_with_hole", Q23_SQL.replace("cells AS (SELECT lat, lon, ts, avg(mm) AS mm FROM g", "cells AS (SELECT lat, lon, ts, avg(mm) AS mm FROM g WHERE lat < -6.3 OR lat > -6.1"))
+def q23_gridded_with_hole(spark, sf_dir):
+    """The axis of latitudes has a hole of several steps."""
+    s = suppliers(spark, sf_dir)
+    known = F.col("s_suppkey") % 7 != 3
+    s = s.select("s_suppkey", *[F.when(known, F.col(c)).alias(c) for c in ("lat", "lon")])
+    cells = rain_cells(spark, sf_dir).where((F.col("lat") < -6.3) | (F.col("lat") > -6.1))
+    return rounded(spatial.gridded_to_points(cells, s, "s_suppkey", "ts", "mm", 0.0625, fallback=0), "mm", "grid_mean")
+
+
 @query("j13_nearest_known_cell", f"""WITH {NODE_SQL}, p AS (SELECT s_suppkey, c.x AS cell_x, c.y AS cell_y, pow(c.x - s.x, 2) + pow(c.y - s.y, 2) AS d2
       FROM sx s, cx c WHERE c_acctbal > 5000 AND abs(c.x - s.x) <= 20 AND abs(c.y - s.y) <= 20),
     b AS (SELECT s_suppkey, arg_min(cell_x, ROW(d2, cell_y, cell_x)) AS cell_x, arg_min(cell_y, ROW(d2, cell_y, cell_x)) AS cell_y FROM p GROUP BY 1)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,7 @@ def build_session(master: str = "local[*]", app: str = "hydroseries", **conf: st
         # Ordered frames cost far more per byte than a scan: keep tasks apart although their input is small.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     for name, value in conf.items():
@@ -69,6 +72,16 @@ def share(df: DataFrame) -> DataFrame:
     return df
 
 
-def release_shared() -> None:
-    while _shared:
+def release_shared(since: int = 0) -> None:
+    while len(_shared) > since:
         _shared.pop().unpersist()
+
+
+@contextmanager
+def shared_until_done() -> Iterator[None]:
+    """Blocks kept inside are freed at the end, so that repeated loads and streams do not pile them up."""
+    before = len(_shared)
+    try:
+        yield
+    finally:
+        release_shared(before)

@@ -27,18 +27,20 @@ def read_gauge_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def parse_gauge_text(df: DataFrame, keys: list[str], raw: str = "raw", mode: str = "rejects") -> Gauge:
+def parse_gauge_text(df: DataFrame, keys: list[str], raw: str = "raw", mode: str = "rejects", place: str | None = None) -> Gauge:
     """Points, limits and rejected pieces of raw texts.
 
     ``mode="strict"`` fails the job on a text without a bar or on a point that does not
-    parse; otherwise these go to ``rejects``. An empty data part gives no points.
+    parse; otherwise these go to ``rejects``. An empty data part gives no points. ``place`` names a further
+    column of the points: their place in the text, which tells the first of several values of one time.
     """
+    more = [place] if place else []
     text = F.col(raw)
     has_bar = F.coalesce(F.instr(text, "|") > 0, F.lit(False))
     parts = F.split(text, r"\|", 3)
     good = df.where(has_bar)
     cut = F.transform(F.split(parts[0], ";"), lambda p: F.trim(p))
-    pieces = good.select(*keys, F.explode(F.filter(cut, lambda p: p != "")).alias("piece"))
+    pieces = good.select(*keys, F.posexplode(F.filter(cut, lambda p: p != "")).alias(place or "_place", "piece"))
     pair = F.split("piece", ",", 2)
     pieces = pieces.withColumns(
         {
@@ -54,11 +56,12 @@ def parse_gauge_text(df: DataFrame, keys: list[str], raw: str = "raw", mode: str
         pieces = pieces.where(F.when(~ok, fail).otherwise(True))
         no_bar = F.raise_error(F.concat(F.lit("unexpected text: "), text)).cast("boolean")
         shape = df.where(F.when(~has_bar, no_bar).otherwise(False)).select(
-            *keys, F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("double").alias("_num")
+            *keys, *[F.lit(None).cast("int").alias(c) for c in more],
+            F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("double").alias("_num"),
         )
-        pieces = pieces.select(*keys, "ts", "_num").unionByName(shape)
+        pieces = pieces.select(*keys, *more, "ts", "_num").unionByName(shape)
         ok = F.lit(True)
-    points = pieces.where(ok).select(*keys, "ts", nan_to_null(F.col("_num")).alias("value"))
+    points = pieces.where(ok).select(*keys, "ts", nan_to_null(F.col("_num")).alias("value"), *more)
 
     given = F.filter(F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ";"), lambda p: F.trim(p) != "")
     nums = F.transform(given, lambda p: to_number(F.trim(p)) / 10)

@@ -140,3 +140,16 @@ def test_grid_has_every_hour_between_first_and_last(spark):
     df = series(spark, [1, 2], times=[T0, T0 + timedelta(hours=5)])
     out = complete_grid(df.select("k", "ts", "v"), ["k"], "ts").orderBy("ts").collect()
     assert [r.v for r in out] == [1.0, None, None, None, None, 2.0]
+
+
+def test_rows_without_key_or_time_keep_their_place(spark):
+    from datetime import datetime
+
+    t = datetime(2024, 1, 1)
+    rows = [(1, "a", t, 5.0), (2, "a", None, 5.0), (3, None, t, 5.0), (4, "a", t, 6.0), (5, None, t, 7.0), (6, "a", None, 1.0)]
+    df = spark.createDataFrame(rows, "n long, k string, ts timestamp_ntz, v double")
+    for calibration in ("series", "series_year"):
+        flags = {r.n: r.qc_flag for r in point_qc(df, ["k"], "ts", "v", "n", calibration=calibration).collect()}
+        assert flags == {1: 0, 2: 1, 3: 1, 4: 4, 5: 1, 6: 1}
+    copies = {r.n: r.is_copy for r in flag_repeated_times(df, ["k"], "ts", "n").collect()}
+    assert copies == {1: False, 2: False, 3: False, 4: True, 5: True, 6: True}

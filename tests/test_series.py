@@ -159,3 +159,25 @@ def test_linear_baseline_learns_a_line(spark):
     _, out = windows.train_linear(w, "is_train")
     nse = out.agg(*scores.regression_aggs(F.col("y"), F.col("yhat"))).first().nse
     assert nse > 0.9
+
+
+def test_strict_time_counts_hours_whatever_the_blocks(spark, monkeypatch):
+    from functools import partial
+
+    from hydroseries.operators.frames import in_blocks
+
+    df = hours(spark, range(300)).withColumns({"tide": F.col("v") * 2, "rain": F.lit(0.0), "flag": F.lit(0)})
+    df = df.where("v not between 110 and 119 and v <> 200")
+    seen = []
+    for rows in (64, 4096):
+        for module in (windows, response):
+            monkeypatch.setattr(module, "in_blocks", partial(in_blocks, rows=rows))
+        base = windows.baseline_forecast(df, ["k"], "ts", "v", 6).orderBy("ts").collect()
+        assert all(r.y == r.persistence + 6 and r.day_before in (None, r.persistence - 18) for r in base)
+        assert [r.day_before for r in base if r.persistence == 130.0] == [None]
+        made = windows.make_windows(df, ["k"], "ts", "v", "tide", "rain", "flag", 5, 2, strict_time=True).orderBy("ts").collect()
+        assert all(r.y == r.y_last + 2 and [h.v for h in r.history] == [r.y_last - 4 + i for i in range(5)] for r in made)
+        curve = response.lag_correlation(df, ["k"], "ts", "v", {"tide": "tide"}, 18, strict_time=True).orderBy("lag_h").collect()
+        assert all(abs(r["corr"] - 1) < 1e-9 for r in curve)
+        seen.append((base, made, [r.lag_h for r in curve]))
+    assert seen[0] == seen[1]

@@ -136,3 +136,37 @@ def test_every_query_with_sql_exists():
 def test_flagship_runs(spark):
     out = entry.entry(spark)
     assert out.columns == ["k", "start", "end", "n", "mean_share"] and out.count() == 5
+
+
+def test_raw_folder_to_tables_keeps_ids_and_the_first_value(spark, tmp_path):
+    raw, p, h = tmp_path / "raw", str(tmp_path / "p"), str(tmp_path / "h")
+
+    def put(series, day, text):
+        (raw / series).mkdir(parents=True, exist_ok=True)
+        (raw / series / f"{day}_{day}.txt").write_text(text + "|900;800;700|")
+
+    put("0140", "2024-03-01", "2024-03-01 00.10.00,9;2024-03-01 00.20.00,9;2024-03-01 00.20.00,3;oops")
+    put("140", "2024-03-01", "2024-03-01 00.20.00,1")
+    first = ingest.ingest_incremental(spark, f"{raw}/*/*.txt", p, h)
+    assert first.rejects.count() == 1 and first.limits.count() == 2
+    put("0140", "2024-03-02", "2024-03-01 00.20.00,4;2024-03-02 00.20.00,5")
+    ingest.ingest_incremental(spark, f"{raw}/*/*.txt", p, h)
+    stored = ingest.stored(spark, p)
+    assert sorted((r.series_id, r.ts.day, r.ts.minute, r.value) for r in stored.collect()) == [
+        ("0140", 1, 10, 9.0), ("0140", 1, 20, 9.0), ("0140", 2, 20, 5.0), ("140", 1, 20, 1.0)
+    ]
+    assert sorted(x.name for x in (tmp_path / "p").iterdir() if x.is_dir()) == ["series_id=0140", "series_id=140"]
+
+
+def test_only_touched_partitions_are_read_and_nothing_stays_cached(spark, tmp_path):
+    from hydroseries import session
+
+    p, h = str(tmp_path / "p"), str(tmp_path / "h")
+    before = len(session._shared)
+    for year in (2022, 2023, 2024):
+        ingest.ingest(spark, points(spark, 5, start=datetime(year, 3, 1)), p, h)
+    assert len(session._shared) == before
+    read = ingest.touched(ingest.stored(spark, p), points(spark, 2, start=datetime(2023, 3, 1)), "series_id", "ts")
+    assert read.count() == 30
+    plan = read._jdf.queryExecution().toString()
+    assert "year" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0] and "2023" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]

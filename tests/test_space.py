@@ -216,3 +216,31 @@ def test_scene_choice_falls_back_to_the_wide_window(spark):
         "scene_id int, acquired timestamp_ntz, orbit string")
     got = [(r.event, r.scene_id, r.wide) for r in scenes.event_scenes(sc, peaks).orderBy("event", "rank").collect()]
     assert got == [("E", 2, True), ("E", 1, True), ("F", 3, False)]
+
+
+def test_pairs_near_poles_and_over_the_antimeridian_equal_brute_force(spark):
+    import math
+
+    rng = np.random.default_rng(3)
+    a = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(-90, 90, 150), rng.uniform(-180, 180, 150)))]
+    a += [(900, 89.99, 10.0), (901, -90.0, 0.0), (902, 0.0, 179.999), (903, 75.0, -180.0)]
+    b = [(i, x + float(rng.normal(0, 0.02)), y + float(rng.normal(0, 0.05))) for i, x, y in a] + [(950, 89.99, -170.0), (951, 0.0, -179.999), (952, 75.0, 180.0)]
+    b = [(i, max(-90.0, min(90.0, x)), y) for i, x, y in b]
+
+    def km(p, q):
+        u, v = math.radians(p[1]), math.radians(q[1])
+        h = math.sin((v - u) / 2) ** 2 + math.cos(u) * math.cos(v) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(1, h)))
+
+    l, r = spark.createDataFrame(a, "i int, lat double, lon double"), spark.createDataFrame(b, "j int, r_lat double, r_lon double")
+    for reach in (3.0, 800.0):
+        found = sorted((x.i, x.j) for x in spatial.within_km(l, r, reach).select("i", "j").collect())
+        assert found == sorted((p[0], q[0]) for p in a for q in b if km(p, q) <= reach)
+
+
+def test_nearest_axis_value_over_a_hole(spark):
+    axis = spark.createDataFrame([(x / 10,) for x in (0, 1, 2, 30, 31)], "v double")
+    at = {1: -5.0, 2: 0.14, 3: 1.0, 4: 1.7, 5: 9.0, 6: None, 7: 2.9}
+    points = spark.createDataFrame(list(at.items()), "k int, x double")
+    out = {r.k: r.near for r in spatial.nearest_axis_value(points, axis, "k", "x", "v", 0.1, "near").collect()}
+    assert out == {1: 0.0, 2: 0.1, 3: 0.2, 4: 3.0, 5: 3.1, 6: None, 7: 3.0}
