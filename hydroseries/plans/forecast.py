@@ -44,8 +44,8 @@ def _window_sql(lookback: int, h: int, extra: bool) -> str:
     WHERE n = {lookback} AND y IS NOT NULL AND known_future IS NOT NULL{keep}"""
 
 
-def _windows(spark, sf_dir, lookback, h, extra, strict):
-    w = windows.make_windows(forced(spark, sf_dir), ["k"], "ts", "v", "tide", "rain", "flag", lookback, h, extra, strict)
+def _windows(spark, sf_dir, lookback, h, extra, strict, pick=lambda df: df):
+    w = windows.make_windows(pick(forced(spark, sf_dir)), ["k"], "ts", "v", "tide", "rain", "flag", lookback, h, extra, strict)
 
     def total(c, digits=6):
         return F.round(F.aggregate("history", F.lit(0.0), lambda a, s: a + s[c]), digits)
@@ -78,10 +78,7 @@ def gappy(df):
 @query("q09_make_windows_gaps", _window_sql(6, 1, False).replace(
     "FROM f WINDOW", f"FROM (SELECT * REPLACE (CASE WHEN hour(ts) IN {GAPS} THEN NULL ELSE v END AS v) FROM f) WINDOW"))
 def q09_make_windows_gaps(spark, sf_dir):
-    w = windows.make_windows(gappy(forced(spark, sf_dir)), ["k"], "ts", "v", "tide", "rain", "flag", 6, 1, strict_time=True)
-    sums = {f"sum_{n}": F.round(F.aggregate("history", F.lit(0.0), lambda a, s, c=c: a + s[c]), d)
-            for n, c, d in (("v", "v", 6), ("tide", "tide", 9), ("rain", "rain", 6))}
-    return rounded(w.withColumns(sums).drop("history"), "y", "y_last", "known_future")
+    return _windows(spark, sf_dir, 6, 1, False, True, gappy)
 
 
 @query("q18_baseline_forecast_gaps", f"""WITH {hourly_sql('user_id')}, r AS (SELECT k, ts, round(v, 6) AS v FROM h)
