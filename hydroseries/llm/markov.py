@@ -78,11 +78,11 @@ class _Lattice:
         """ln likelihood per sequence (in the given order), and if kept the scaled alphas and scales, step after step."""
         n = self.active[0]
         alpha = np.repeat(start[None], n, axis=0)
-        alphas = np.empty((len(self.symbols) if keep else 0, len(start)))
+        alphas = emit[self.symbols] if keep else np.empty((0, len(start)))  # weights of the symbols first, then the alphas
         scales = np.empty(len(self.symbols))
         for t, width in enumerate(self.active.tolist()):
             at = slice(self.starts[t], self.starts[t + 1])
-            alpha = (alpha[:width] @ move if t else alpha) * emit[self.symbols[at]]
+            alpha = (alpha[:width] @ move if t else alpha) * (alphas[at] if keep else emit[self.symbols[at]])
             c = alpha.sum(axis=1)
             alpha /= c[:, None]
             scales[at] = c
@@ -235,7 +235,8 @@ def score_texts(
     class_log = np.log10(weight + 1)
     share = np.concatenate([np.array(number[:symbols], dtype=float), of_class + 1])
     share /= share.sum()
-    coded = cut_lineage(_encode(rows, words, number, symbols))
+    # Texts of like length next to each other: a step of the recursion then handles many texts, not the one long text of each run.
+    coded = cut_lineage(_encode(rows, words, number, symbols).sortWithinPartitions("n_tokens", "doc_id"))
     start, move, emit = train(coded.where(~F.col("held_out")).select("doc_id", "symbols"), words[:symbols], share, rounds)
     model = docs.sparkSession.sparkContext.broadcast((start, move, emit))
     base = float(np.log10(n + v + 1))
