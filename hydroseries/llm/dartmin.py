@@ -276,12 +276,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = texts(docs, id_col, text_col)
     made = cut_lineage(signatures(rows))
-    exploded = made.where(F.col("node").isNotNull()).select("node", F.explode("bands").alias("h"))
-    shared = exploded.groupBy("h").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.count("*").alias("copies"))
-    shared = shared.where(F.col("_lo") != F.col("_hi")).select("h", "copies")
-    members = exploded.join(shared, "h").groupBy("h", "node").agg(F.max("copies").alias("copies"))
-    nodes = made.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
-    buckets = _blocks(members.join(nodes, "node"), F.col("copies"))
+    # Copies are folded before bands are dealt, so a group of copies is one row of each of its buckets.
+    nodes = made.where(F.col("node").isNotNull()).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "bands", "sig")])
+    nodes = cut_lineage(nodes)
+    exploded = nodes.select("node", F.explode("bands").alias("h"))
+    shared = exploded.groupBy("h").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.count("*").alias("texts"))
+    shared = shared.where(F.col("_lo") != F.col("_hi")).select("h", "texts")
+    members = exploded.join(shared, "h")
+    nodes = nodes.select("node", "n", "sig")
+    buckets = _blocks(members.join(nodes, "node"), F.col("texts"))
     likely = _streamed(buckets, ["h", "i", "j"], ["node", "n", "sig"], _likely_edges)
     clusters = cut_lineage(connected_components(likely))
 
