@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are cut into passages, weighted by TF-IDF (document frequencies over all documents) and brought into a
-latent space by a randomised SVD whose products are summed in Spark. Windows of every document are folded into that
-space; windows near an item by cosine are candidates, which the longest common subsequence of their words decides,
+Benchmark items are cut into passages and weighted by TF-IDF (document frequencies over all documents). Blocks of passages
+get a latent space each, by the SVD of the block, with as many dimensions as its passages span: so every passage keeps its whole
+length, however many there are. Windows of every document are folded into these spaces;
+windows near an item by cosine are candidates, which the longest common subsequence of their words decides,
 together with a check that the item's ending, which holds the answer, is there as well. So light paraphrases are found
 too: changed, missing or added words lower the measure and do not break it.
 """
@@ -27,7 +28,6 @@ TERMS = 1 << BITS
 BLOCK = 16
 WIDTHS = (1, 2, 4)
 _MARKS = bytes.maketrans(b".,;:!?()[]{}\"'|#$%&*", b" " * 20)
-_PART = 16
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -101,70 +101,50 @@ def item_passages(benchmark: DataFrame, idf: np.ndarray, id_col: str, text_col:
     return cut_lineage(map_batches(texts(benchmark, id_col, text_col), run, schema))
 
 
-def _gram_product(passages: DataFrame, m: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """transpose(A) A m for the matrix A of passages over ``terms``: each task adds up its rows, Spark sums by term."""
-    shared = passages.sparkSession.sparkContext.broadcast((m, terms))
-    parts = -(-m.shape[1] // _PART)
+def own_space(passages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The terms in use in a block of passages (at, v) and its right singular vectors over them (terms x rank).
 
-    def run(batches):
-        m, terms = shared.value
-        z = np.zeros((len(terms), parts * _PART))
-        for at, v in rows_of(batches, "at", "v"):
-            at, v = np.searchsorted(terms, at), np.asarray(v)
-            z[at, : m.shape[1]] += np.outer(v, v @ m[at])
-        used = np.flatnonzero(z.any(axis=1)).astype(np.int32)
-        whole = np.rint(z[used].reshape(len(used) * parts, _PART) * 1e9).astype(np.int64)  # sums alike in any order
-        yield {
-            "at": np.repeat(used, parts), "part": np.tile(np.arange(parts, dtype=np.int32), len(used)),
-            **{f"z{k}": whole[:, k] for k in range(_PART)},
-        }
-
-    names = [f"z{k}" for k in range(_PART)]
-    summed = map_batches(passages.select("at", "v"), run, "at int, part int, " + ", ".join(f"{c} long" for c in names))
-    got = summed.groupBy("at", "part").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
-    shared.unpersist()
-    out = np.zeros((len(terms), parts, _PART))
-    out[got["at"].to_numpy(), got["part"].to_numpy()] = got[names].to_numpy() / 1e9
-    return out.reshape(len(terms), parts * _PART)[:, : m.shape[1]]
-
-
-def latent_space(passages: DataFrame, rank: int = 128, rounds: int = 2, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """The terms in use and the right singular vectors over them (terms x rank), by randomised subspace iteration.
-
-    Terms are hashed, so there are ``TERMS`` of them at most, whatever the benchmark's size.
+    The rank is that of the block, so no passage loses more than a thousandth of its length.
     """
-    terms = passages.select(F.explode("at").alias("at")).distinct().toPandas()["at"].sort_values().to_numpy(dtype=np.int64)
-    count = passages.count()
-    rank = min(rank, count)
-    if not rank:
-        return terms, np.zeros((len(terms), 0))
-    basis = np.random.default_rng(seed).standard_normal((len(terms), min(rank + 16, count, len(terms))))
-    for _ in range(rounds):
-        basis, _ = np.linalg.qr(_gram_product(passages, basis, terms))
-    inner = basis.T @ _gram_product(passages, basis, terms)
-    values, turn = np.linalg.eigh((inner + inner.T) / 2)
-    keep = np.argsort(-values)[:rank]
-    return terms, basis @ turn[:, keep[values[keep] > 1e-9]]
+    terms = np.unique(np.concatenate([at for at, _ in passages]))
+    rows = np.zeros((len(passages), len(terms)))
+    for row, (at, v) in zip(rows, passages):
+        row[np.searchsorted(terms, at)] = v
+    values, turn = np.linalg.eigh(rows @ rows.T)
+    keep = values > 1e-6
+    return terms, rows.T @ (turn[:, keep] / np.sqrt(values[keep]))
+
+
+class Space:
+    """Folded terms and latent vectors of the passages from ``first`` on."""
+
+    def __init__(self, first: int, passages: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray):
+        self.first = first
+        terms, space = own_space(passages)
+        self.fold = (space * idf[terms, None]).astype(np.float32)
+        self.slot = np.full(TERMS + 1, -1, dtype=np.int32)  # the last one pads; other terms are in no passage
+        self.slot[terms] = np.arange(len(terms))
+        q = np.array([v @ space[np.searchsorted(terms, at)] for at, v in passages])
+        self.queries = (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(np.float32)
 
 
 class Searcher:
-    """Finds the benchmark passages in texts. Holds the items' words and latent vectors, and the folded terms."""
+    """Finds the benchmark passages in texts. Holds the items' words and TF-IDF vectors; at most ``rank`` of them share a space."""
 
-    def __init__(self, items: list[tuple[int, list[bytes], np.ndarray, np.ndarray]], terms: np.ndarray, space: np.ndarray,
-                 idf: np.ndarray, cosine: float, sure: float, likely: float, answer: float):
+    def __init__(self, items: list[tuple[int, list[bytes], np.ndarray, np.ndarray]], idf: np.ndarray, rank: int, cosine: float,
+                 sure: float, likely: float, answer: float):
         self.limit, self.sure, self.likely, self.answer = cosine, sure, likely, answer
         self.items = [(i, w) for i, w, _, _ in items]
-        self.fold = (space * idf[terms, None]).astype(np.float32)
-        self.slot = np.full(TERMS + 1, -1, dtype=np.int32)  # the last one pads; other terms are in no item
-        self.slot[terms] = np.arange(len(terms))
-        self.squares = np.concatenate([idf ** 2, [0]]).astype(np.float32)
-        q = np.array([np.asarray(v) @ space[np.searchsorted(terms, at)] for _, _, at, v in items]).reshape(len(items), space.shape[1])
-        norm = np.linalg.norm(q, axis=1, keepdims=True)
-        self.queries = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0).astype(np.float32)
+        self.vectors = [(np.asarray(at), np.asarray(v)) for _, _, at, v in items]
+        self.idf, self.rank = idf, rank
 
     def prepare(self) -> None:
         """What is cheaper to make in a task than to send there."""
         self.ids = WordIds(term)
+        self.squares = np.concatenate([self.idf ** 2, [0]]).astype(np.float32)
+        n, blocks = len(self.items), -(-len(self.items) // self.rank)
+        edges = [k * n // blocks for k in range(blocks + 1)] if blocks else []
+        self.spaces = [Space(x, self.vectors[x:y], self.idf) for x, y in zip(edges, edges[1:])]
         self.masks = [place_masks(w) for _, w in self.items]
         self.bags = [Counter(w) for _, w in self.items]
         self.sets = [frozenset(w) for _, w in self.items]
@@ -180,7 +160,7 @@ class Searcher:
             flat.extend([TERMS] * (blocks * BLOCK - len(words)))
             owner.append(np.full(blocks, k))
             ends.append(np.full(blocks, blocks))
-        if not flat or not len(self.queries):
+        if not flat or not self.spaces:
             return
         flat = np.array(flat)
         owner = np.concatenate(owner)
@@ -189,29 +169,31 @@ class Searcher:
         n = len(owner)
         place = np.arange(n)
         stop = first + sizes
-        latent = np.zeros((n + 1, self.fold.shape[1]), dtype=np.float32)
         norms = np.zeros(n + 1)
-        slots = self.slot[flat]
-        used = np.flatnonzero(slots >= 0)
-        if not len(used):
-            return
-        block = used // BLOCK
-        starts = np.flatnonzero(np.diff(block, prepend=-1))
-        latent[block[starts] + 1] = np.add.reduceat(self.fold[slots[used]], starts, axis=0)
-        np.cumsum(latent, axis=0, out=latent)
         np.cumsum(self.squares[flat].reshape(n, BLOCK).sum(axis=1), out=norms[1:])
-        for width in WIDTHS:
-            over = np.minimum(place + width, stop)
-            v = latent[over] - latent[place]
-            size = np.sqrt(norms[over] - norms[place])
-            near = np.flatnonzero(np.einsum("ij,ij->i", v, v) >= (self.limit * size) ** 2)  # no cosine can be larger
-            near = near[size[near] > 0]
-            if not len(near):
+        reach = [np.minimum(place + width, stop) for width in WIDTHS]
+        lengths = [np.sqrt(norms[over] - norms[place]) for over in reach]
+        for space in self.spaces:
+            slots = space.slot[flat]
+            used = np.flatnonzero(slots >= 0)
+            if not len(used):
                 continue
-            cosines = (v[near] / size[near, None]).astype(np.float32) @ self.queries.T
-            for a, q in zip(*np.nonzero(cosines >= self.limit)):
-                i = near[a]
-                yield int(owner[i]), int(place[i] - first[i]) * BLOCK, int(over[i] - place[i]) * BLOCK, int(q), float(cosines[a, q])
+            latent = np.zeros((n + 1, space.fold.shape[1]), dtype=np.float32)
+            block = used // BLOCK
+            starts = np.flatnonzero(np.diff(block, prepend=-1))
+            latent[block[starts] + 1] = np.add.reduceat(space.fold[slots[used]], starts, axis=0)
+            np.cumsum(latent, axis=0, out=latent)
+            for over, size in zip(reach, lengths):
+                v = latent[over] - latent[place]
+                near = np.flatnonzero(np.einsum("ij,ij->i", v, v) >= (self.limit * size) ** 2)  # no cosine can be larger
+                near = near[size[near] > 0]
+                if not len(near):
+                    continue
+                cosines = (v[near] / size[near, None]).astype(np.float32) @ space.queries.T
+                for a, q in zip(*np.nonzero(cosines >= self.limit)):
+                    i = near[a]
+                    at, words = int(place[i] - first[i]) * BLOCK, int(over[i] - place[i]) * BLOCK
+                    yield int(owner[i]), at, words, space.first + int(q), float(cosines[a, q])
 
     def hits(self, batch: list[list[bytes]]) -> list[dict[int, tuple[float, float, float, int]]]:
         """Per text: item id -> (cosine, part of the item's words in order, part of its ending, first word)."""
@@ -248,12 +230,11 @@ def build_searcher(
     passages = item_passages(benchmark, idf, item_col, item_text)
     if (found := passages.count()) > most:
         raise ValueError(f"the benchmark has {found} passages, more than {most}: search it in parts")
-    terms, space = latent_space(passages, rank)
     found = sorted(
         ((r["item_id"], [bytes(w) for w in r["words"]], np.array(r["at"]), np.array(r["v"])) for r in passages.collect()),
         key=lambda r: (r[0] is None, r[0] or 0, r[1]),
     )
-    return Searcher(found, terms, space, idf, cosine, sure, likely, answer)
+    return Searcher(found, idf, rank, cosine, sure, likely, answer)
 
 
 def _groups(words: list[list[bytes]], most: int = 24_000) -> Iterator[list[list[bytes]]]:

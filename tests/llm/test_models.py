@@ -135,6 +135,29 @@ def test_leaks(spark):
     assert latent.without_leaks(frame(spark), bench).count() == len(rows())
 
 
+def planted(rng, n):
+    """n items in documents of their own, every second one as a paraphrase; (documents, items)."""
+    items = [(k, sentence(rng, rng.randint(16, 59), "abcdefghijkl")) for k in range(n)]
+    docs = []
+    for k, text in items:
+        w, part = sentence(rng, rng.randint(40, 120), "abcdefghijkl").split(), text.split()
+        if k % 2:  # every ninth word changed, one missing
+            part = [x if i % 9 else "other" for i, x in enumerate(part)]
+            del part[len(part) // 2]
+        at = rng.randint(0, len(w))
+        w[at:at] = part
+        docs.append((k, " ".join(w)))
+    return docs, items
+
+
+def test_leaks_of_a_large_benchmark(spark):
+    """What is found does not depend on how many items there are."""
+    docs, items = planted(random.Random(11), 2_500)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    got = latent.find_leaks(df, spark.createDataFrame(items, "item_id long, text string").repartition(3))
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(k, k) for k in range(2_500)]
+
+
 def test_common_length():
     def brute(a, b):
         row = [0] * (len(b) + 1)
