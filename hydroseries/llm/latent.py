@@ -128,6 +128,11 @@ class Space:
         self.queries = (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(np.float32)
 
 
+def better(hit: tuple[float, float, float, int], was: tuple[float, float, float, int]) -> bool:
+    """More of the item, then nearer, then earlier."""
+    return (hit[1], hit[0], -hit[3]) > (was[1], was[0], -was[3])
+
+
 class Searcher:
     """Finds the benchmark passages in texts. Holds the items' words and TF-IDF vectors; at most ``rank`` of them share a space."""
 
@@ -211,30 +216,60 @@ class Searcher:
                 continue
             tail = common_length(self.tail_masks[q], len(self.tails[q]), region) / len(self.tails[q])
             if part >= self.sure or tail >= self.answer:
-                was = out[k].get(item)
-                if was is None or (part, cosine, -at) > (was[1], was[0], -was[3]):
-                    out[k][item] = (cosine, part, tail, at)
+                hit = (cosine, part, tail, at)
+                if item not in out[k] or better(hit, out[k][item]):
+                    out[k][item] = hit
         return out
 
 
-def build_searcher(
-    rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", rank: int = 128, cosine: float = 0.35,
-    sure: float = 0.75, likely: float = 0.6, answer: float = 0.75, most: int = 100_000,
-) -> Searcher:
-    """``rows`` as from ``common.texts``; documents are never collected.
+class Parts:
+    """The benchmark as searchers of bounded size, each broadcast by itself; a task holds one at a time.
 
-    The benchmark's passages are, up to ``most`` of them (64 words each). A larger benchmark is refused before anything is
-    collected: search it in parts.
+    The driver collects a part's passages only, and documents never.
     """
-    idf = inverse_frequencies(rows)
-    passages = item_passages(benchmark, idf, item_col, item_text)
-    if (found := passages.count()) > most:
-        raise ValueError(f"the benchmark has {found} passages, more than {most}: search it in parts")
-    found = sorted(
-        ((r["item_id"], [bytes(w) for w in r["words"]], np.array(r["at"]), np.array(r["v"])) for r in passages.collect()),
-        key=lambda r: (r[0] is None, r[0] or 0, r[1]),
-    )
-    return Searcher(found, idf, rank, cosine, sure, likely, answer)
+
+    def __init__(self, rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", rank: int = 128,
+                 cosine: float = 0.35, sure: float = 0.75, likely: float = 0.6, answer: float = 0.75, most: int = 4096):
+        """``rows`` as from ``common.texts``; a part has about ``most`` passages (64 words each)."""
+        idf = inverse_frequencies(rows)
+        passages = item_passages(benchmark, idf, item_col, item_text)
+        parts = -(-passages.count() // most)
+        # Equal passages of an item are found alike, so one will do: what is left is dealt evenly.
+        placed = passages.dropDuplicates(["item_id", "words"]).withColumn("_part", F.pmod(F.xxhash64("item_id", "words"), F.lit(parts)))
+        if parts > 1:
+            placed = cut_lineage(placed)
+        self.held = None
+        self.shared = []
+        for k in range(parts):
+            found = sorted(
+                ((r["item_id"], [bytes(w) for w in r["words"]], np.array(r["at"]), np.array(r["v"])) for r in placed.where(F.col("_part") == k).collect()),
+                key=lambda r: (r[0] is None, r[0] or 0, r[1]),
+            )
+            if found:
+                searcher = Searcher(found, idf, rank, cosine, sure, likely, answer)
+                self.shared.append(benchmark.sparkSession.sparkContext.broadcast(searcher))
+
+    def searchers(self) -> Iterator[Searcher]:
+        """In a task: every part, made ready; the one before is let go of."""
+        for k, part in enumerate(self.shared):
+            if self.held is None or self.held[0] != k:
+                self.held = None
+                searcher = part.value
+                part.__dict__.pop("_value", None)  # or the worker would keep them all
+                searcher.prepare()
+                self.held = k, searcher
+            yield self.held[1]
+
+    def hits(self, texts: list[bytes | None]) -> Iterator[dict[int, tuple[float, float, float, int]]]:
+        """Per text: what ``Searcher.hits`` finds in all parts together."""
+        words = [words_of(t) for t in texts]
+        out: list[dict] = [{} for _ in words]
+        for s in self.searchers():
+            for was, hits in zip(out, (h for part in _groups(words) for h in s.hits(part))):
+                for item, hit in hits.items():
+                    if item not in was or better(hit, was[item]):
+                        was[item] = hit
+        return iter(out)
 
 
 def _groups(words: list[list[bytes]], most: int = 24_000) -> Iterator[list[list[bytes]]]:
@@ -257,22 +292,18 @@ def find_leaks(
 
     A passage of an item counts as found if ``sure`` of its words are there in order, or ``likely`` of them and ``answer`` of
     its last third. Texts of no words, and items of fewer than four, match nothing. Null text counts as empty; null or repeated
-    ids are rows like others. Without documents or items: no rows.
+    ids are rows like others. Without documents or items: no rows. A benchmark of any size is searched whole, part by part.
     """
     rows = texts(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(build_searcher(rows, benchmark, item_col, item_text, **options))
+    parts = Parts(rows, benchmark, item_col, item_text, **options)
 
     def run(batches):
-        s = shared.value
-        s.prepare()
         out = Buffer("doc_id", "item_id", "cosine", "coverage", "answer_coverage", "first_word")
         for b in batches:
-            who = iter(b.column(b.schema.get_field_index("doc_id")).to_pylist())
-            for part in _groups([words_of(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]):
-                for hits in s.hits(part):
-                    doc = next(who)
-                    for item, (cosine, share, tail, at) in hits.items():
-                        out.add(doc, item, round(cosine, 4), round(share, 6), round(tail, 6), at)
+            who = b.column(b.schema.get_field_index("doc_id")).to_pylist()
+            for doc, hits in zip(who, parts.hits(b.column(b.schema.get_field_index("text")).to_pylist())):
+                for item, (cosine, share, tail, at) in hits.items():
+                    out.add(doc, item, round(cosine, 4), round(share, 6), round(tail, 6), at)
             yield out.take()
 
     schema = "doc_id long, item_id long, cosine double, coverage double, answer_coverage double, first_word int"
@@ -284,16 +315,12 @@ def without_leaks(
     item_text: str = "text", **options,
 ) -> DataFrame:
     """The rows of ``docs`` in which no item is found; they pass through, so nothing is shuffled."""
-    searcher = build_searcher(texts(docs, id_col, text_col), benchmark, item_col, item_text, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(searcher)
+    parts = Parts(texts(docs, id_col, text_col), benchmark, item_col, item_text, **options)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = shared.value
-        s.prepare()
         for b in batches:
-            words = [words_of(t) for t in b.column(place).cast(pa.binary()).to_pylist()]
-            clean = [not hits for part in _groups(words) for hits in s.hits(part)]
+            clean = [not hits for hits in parts.hits(b.column(place).cast(pa.binary()).to_pylist())]
             yield b.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, StructType(list(docs.schema.fields)))

@@ -158,6 +158,21 @@ def test_leaks_of_a_large_benchmark(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(k, k) for k in range(2_500)]
 
 
+def test_leaks_in_parts(spark):
+    """A benchmark of more passages than a part holds is searched whole, and an item of passages in several parts is one row."""
+    docs, items = planted(random.Random(12), 150)
+    long = " ".join(text for _, text in items[:8])
+    docs += [(1_000, long), (1_000, long), (None, items[0][1])]
+    items += [(500, long), (3, items[3][1]), (None, items[4][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = latent.find_leaks(df, bench).collect()
+    assert {(k, k) for k in range(150)} | {(4, None), (1_000, 500), (None, 0)} <= {(r["doc_id"], r["item_id"]) for r in want}
+    got = latent.find_leaks(df, bench, most=40)
+    assert sorted(got.collect(), key=repr) == sorted(want, key=repr)
+    assert latent.without_leaks(df, bench, most=40).count() == 0
+
+
 def test_common_length():
     def brute(a, b):
         row = [0] * (len(b) + 1)
