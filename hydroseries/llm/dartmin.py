@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -266,14 +267,8 @@ def _exact_edges(held: list[tuple]) -> Iterator[tuple[int, int]]:
         yield held[x][0], held[y][0]
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node, class_id, class_size, n_shingles: one row per row of ``docs``.
-
-    Two texts are linked if the weighted Jaccard similarity of their five-word shingles is 0.8 or more; classes are what links
-    connect, ``class_id`` the smallest doc_id in it. Texts of equal words are one node, whatever their number, so copies are never
-    paired. A text of fewer than five words is one shingle and equals only its copies. A text without words (null, empty)
-    is a class of its own: node null, class_id its id, size 1. Repeated rows are copies. A class of null ids has a null class_id.
-    """
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, node, n, _class (the same for the rows of a class; null for a text without words): one row per row of ``docs``."""
     rows = texts(docs, id_col, text_col)
     made = cut_lineage(signatures(rows))
     # Copies are folded before bands are dealt, so a group of copies is one row of each of its buckets.
@@ -310,7 +305,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = map_batches(whole, run, "node long, units array<long>").dropDuplicates(["node"])
     exact = _streamed(sets.join(placed, "node"), ["component", "i", "j"], ["node", "units"], _exact_edges)
     joined = connected_components(exact)
-    labelled = made.join(joined, "node", "left").withColumn("_class", F.coalesce("component", "node"))
+    return made.join(joined, "node", "left").select("doc_id", "node", "n", F.coalesce("component", "node").alias("_class"))
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, node, class_id, class_size, n_shingles: one row per row of ``docs``.
+
+    Two texts are linked if the weighted Jaccard similarity of their five-word shingles is 0.8 or more; classes are what links
+    connect, ``class_id`` the smallest doc_id in it. Texts of equal words are one node, whatever their number, so copies are never
+    paired. A text of fewer than five words is one shingle and equals only its copies. A text without words (null, empty)
+    is a class of its own: node null, class_id its id, size 1. Repeated rows are copies. A class of null ids has a null class_id.
+    """
+    labelled = _labelled(docs, id_col, text_col)
     sizes = labelled.where(F.col("_class").isNotNull()).groupBy("_class").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")
     )
@@ -321,16 +327,29 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _nodes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in texts:
+        words = [(t or b"").split() for t in part]
+        yield pd.Series([_node(w) if w else None for w in words], dtype="Int64")
+
+
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which one per class stays, that of the smallest id; texts without words all stay.
+    """The rows of ``docs`` of which exactly one per class stays, that of the smallest id, a null id last; texts without words all stay.
 
-    A repeated row of that id stays once: equal ids and texts next to each other after the join are folded.
+    A row goes by its id and its words together, so another text of the same id stays. Where that id has several texts in the
+    class, one of them stays; of repeated rows the smallest by all columns.
     """
-    classes = near_classes(docs, id_col, text_col)
-    gone = classes.where(F.col("doc_id") != F.col("class_id"))
-    again = classes.where(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    keyed = packed(docs, doc_id=F.col(f"`{id_col}`").cast("long"))
-    keep = keyed.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select("_row.*")
-    if again.where("_rows > 1").isEmpty():
-        return keep
-    return keep.dropDuplicates()
+    labelled = _labelled(docs, id_col, text_col).where(F.col("node").isNotNull())
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))
+    first = labelled.groupBy("_class").agg(F.min(rank).alias("_first"), F.count("*").alias("_size")).where("_size > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("_first.id")) & (F.col("node") == F.col("_first.node"))
+    marks = labelled.join(first, "_class").groupBy(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
+    marks = cut_lineage(marks.agg(F.first(stays).alias("_stays"), F.count("*").alias("_rows")).where("not _stays or _rows > 1"))
+    node = F.pandas_udf(_nodes, "long")(F.col(f"`{text_col}`").cast("binary"))
+    keyed = packed(docs, doc_id=F.col(f"`{id_col}`").cast("long"), node=node)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node"))
+    again = marks.where("_stays")
+    if again.isEmpty():
+        return keyed.join(marks, same, "left_anti").select("_row.*")
+    once = keyed.join(again, same, "left_semi").groupBy("doc_id", "node").agg(F.min("_row").alias("_row"))
+    return keyed.join(marks, same, "left_anti").select("_row.*").unionByName(once.select("_row.*"))

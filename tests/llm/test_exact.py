@@ -228,6 +228,23 @@ def test_near_classes(spark):
     assert kept.columns == frame(spark).columns and kept.where("doc_id = 7").count() == 1 and kept.where("doc_id in (8, 9, 10)").count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Whatever is repeated or null: a class ends with one row, rows of other texts and those without words all stay."""
+    docs = rows()
+    base, other = docs[6][1], sentence(random.Random(9), 80)
+    docs += [(18, base, "xx", "a", 0, *docs[0][5:]), (None, other, "xx", "a", 0, *docs[0][5:]), (None, other, "xx", "b", 0, *docs[0][5:])]
+    df = spark.createDataFrame(docs, frame(spark).schema).repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in dartmin.without_near_copies(df).collect())
+    want = Counter((i, t) for i, t, *_ in docs)
+    for i in (8, 18, None):
+        del want[i, base]
+    for i, t in [k for k in want if k[0] in (9, 10)]:
+        del want[i, t]
+    del want[6, "one  two\tthree"]
+    want[7, base] = want[None, other] = 1
+    assert got == want and got[2, ""] == 2 and sum(i == 18 for i, _ in got) == 2
+
+
 def test_near_classes_of_a_large_group(spark, monkeypatch):
     """Copies of one original around the threshold, compared in several blocks."""
     monkeypatch.setattr(dartmin, "BLOCK", 15)
