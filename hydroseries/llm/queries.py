@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hydroseries.llm.alignment import align_tokens
 from hydroseries.llm.common import documents
 from hydroseries.llm.dartmin import near_classes
 from hydroseries.llm.hyperdim import identify_languages
@@ -18,6 +19,7 @@ from hydroseries.llm.phrases import repeated_spans
 from hydroseries.llm.sharding import shard_rows
 from hydroseries.llm.tries import exact_groups
 from hydroseries.llm.weaklabels import quality_scores
+from hydroseries.llm.whitening import whitened_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -126,3 +128,13 @@ def _(spark, sf_dir):
     return classes.select(
         "doc_id", "class_id", "class_size", "n_shingles", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
     )
+
+
+@query("op11_token_alignment")
+def _(spark, sf_dir):
+    return align_tokens(documents(spark, sf_dir))
+
+
+@query("op13_embedding_whitening")
+def _(spark, sf_dir):
+    return whitened_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
