@@ -17,6 +17,7 @@ from hydroseries.llm.markov import score_texts
 from hydroseries.llm.mixing import mix_sources
 from hydroseries.llm.phrases import repeated_spans
 from hydroseries.llm.sharding import shard_rows
+from hydroseries.llm.substrings import repeated_substrings
 from hydroseries.llm.tries import exact_groups
 from hydroseries.llm.weaklabels import quality_scores
 from hydroseries.llm.whitening import whitened_rows
@@ -135,6 +136,23 @@ def _(spark, sf_dir):
     return align_tokens(documents(spark, sf_dir))
 
 
+@query("op12_repeated_substrings", r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k FROM d, unnest(range(0, n - 99)) u(i)),
+r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+g AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS new FROM r),
+s AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM s GROUP BY doc_id, span),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p),
+c AS (SELECT q.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+             string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM q JOIN d USING (doc_id) GROUP BY q.doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)""")
+def _(spark, sf_dir):
+    return repeated_substrings(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op13_embedding_whitening")
 def _(spark, sf_dir):
     return whitened_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
