@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hydroseries.functions.geo import EARTH_KM, haversine_km, inside_ring
 from hydroseries.operators.frames import join_per_key, scan_series
+from hydroseries.session import cut_lineage
 
 KM_PER_DEGREE = 110.0  # a little below the true value, so that cells are never too small
 
@@ -59,21 +62,88 @@ def within_km(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lo
     return l.join(r, ["_cx", "_cy"]).withColumn("dist_km", d).where(F.col("dist_km") <= km).drop("_cx", "_cy")
 
 
+#: Nodes of a cell above which it is split into 4 x 4, and the most splits of one place.
+LEAF_NODES, MOST_LEVELS = 32, 16
+
+
+def _at_level(level: int, x: str, y: str, reach: float) -> dict[str, Column]:
+    """The cell at a level; cells of level 0 are ``reach`` wide. Scaling by powers of two is exact, so cells nest."""
+    scale = float(4**level)
+    return {"_cx": F.floor(F.col(x) / reach * scale).cast("long"), "_cy": F.floor(F.col(y) / reach * scale).cast("long")}
+
+
+def _tree(nodes: DataFrame, reach: float) -> list[tuple[DataFrame, DataFrame]]:
+    """Per level of a quadtree (splits are 4 x 4): the nodes that got so far, and its cells with their box and whether they are split."""
+    levels = []
+    while True:
+        here = nodes.withColumns(_at_level(len(levels), "_nx", "_ny", reach))
+        cells = here.groupBy("_cx", "_cy").agg(
+            (F.count("*") > LEAF_NODES).alias("_split"), F.min("_nx").alias("_x0"), F.max("_nx").alias("_x1"),
+            F.min("_ny").alias("_y0"), F.max("_ny").alias("_y1"),
+        )
+        if len(levels) + 1 == MOST_LEVELS:
+            cells = cells.withColumn("_split", F.lit(False))
+        cells = cut_lineage(cells)
+        levels.append((here, cells))
+        crowded = cells.where("_split").select("_cx", "_cy")
+        if crowded.isEmpty():
+            return levels
+        nodes = cut_lineage(here.join(crowded, ["_cx", "_cy"], "left_semi").drop("_cx", "_cy"))
+
+
+def nearest_candidates(points: DataFrame, nodes: DataFrame, reach: float, square: bool = False) -> DataFrame:
+    """Pairs of points (_key, _px, _py) and nodes (_tie, _nx, _ny) among which each point's nearest node is: the points' columns and _tie, _nx, _ny.
+
+    Best-first search over a quadtree of the nodes, level by level for all points at once. Every cell that is not empty bounds a
+    point's best distance by the far corner of the box of its nodes; cells whose near side is beyond the bound, or
+    out of reach, are left. So a point meets the nodes of a few cells of at most ``LEAF_NODES``, however many are within its reach.
+    Of nodes at one place only the first by ``_tie`` is looked at. ``square``: within reach by either coordinate, not by distance.
+    """
+    one = nodes.groupBy("_nx", "_ny").agg(F.min("_tie").alias("_tie"))
+    p = points.withColumns(_at_level(0, "_px", "_py", reach))
+    front = spread_cells(p, F.col("_cx"), F.col("_cy"))
+    levels = _tree(cut_lineage(one.where(F.col("_nx").isNotNull() & F.col("_ny").isNotNull())), reach)
+    if len(levels) == 1:
+        return front.join(levels[0][0], ["_cx", "_cy"]).drop("_cx", "_cy")
+    by_point = Window.partitionBy("_key")
+    front = front.withColumn("_bound", F.lit(float("inf")))
+    zero = F.lit(0.0)
+    met = []
+    for level, (here, cells) in enumerate(levels):
+        c = front.join(cells, ["_cx", "_cy"])
+        near = [F.greatest(F.col(f"_{a}0") - F.col(f"_p{a}"), F.col(f"_p{a}") - F.col(f"_{a}1"), zero) for a in "xy"]
+        far = [F.greatest(F.abs(F.col(f"_{a}0") - F.col(f"_p{a}")), F.abs(F.col(f"_{a}1") - F.col(f"_p{a}"))) for a in "xy"]
+        fits = (F.greatest(*far) if square else F.hypot(*far)) <= reach
+        c = c.withColumns({"_near": F.hypot(*near), "_far": F.when(fits, F.hypot(*far)), "_off": F.greatest(*near) if square else F.hypot(*near)})
+        c = c.withColumn("_bound", F.least("_bound", F.min("_far").over(by_point)))
+        # A point has at most a few dozen cells at a level. The bound is widened by more than the rounding of distances.
+        c = c.where((F.col("_near") <= F.col("_bound") * (1 + 1e-12)) & (F.col("_off") <= reach * (1 + 1e-12)))
+        c = cut_lineage(c.select(*points.columns, "_cx", "_cy", "_split", "_near", "_bound"))
+        met.append((here, c.where(~F.col("_split")).drop("_split")))
+        kids = F.array(*[F.lit(k).cast("long") for k in range(4)])
+        front = c.where("_split").select(
+            *points.columns, "_bound", F.explode(F.transform(kids, lambda k: F.col("_cx") * 4 + k)).alias("_cx"), "_cy"
+        ).withColumn("_cy", F.explode(F.transform(kids, lambda k: F.col("_cy") * 4 + k)))
+    bounds = reduce(DataFrame.unionByName, [c.select("_key", "_bound") for _, c in met]).groupBy("_key").agg(F.min("_bound").alias("_least"))
+    pairs = []
+    for here, c in met:
+        c = c.join(bounds, "_key").where(F.col("_near") <= F.col("_least") * (1 + 1e-12))
+        pairs.append(c.select(*points.columns, "_cx", "_cy").join(here, ["_cx", "_cy"]).drop("_cx", "_cy"))
+    return reduce(DataFrame.unionByName, pairs)
+
+
 def nearest_within(points: DataFrame, nodes: DataFrame, key: str, node: str, radius: float,
                    x: str = "x", y: str = "y") -> DataFrame:
     """Nearest node (plane distance) of each point no further than ``radius``; smallest node on ties.
 
     Points without a node in reach stay, with NULL node and distance.
     """
-    p = spread_cells(points.select(key, F.col(x).alias("_px"), F.col(y).alias("_py")),
-                     _cell(F.col("_px"), radius), _cell(F.col("_py"), radius))
-    n = nodes.select(F.col(node), F.col(x).alias("_nx"), F.col(y).alias("_ny")).withColumns(
-        {"_cx": _cell(F.col("_nx"), radius), "_cy": _cell(F.col("_ny"), radius)}
-    )
+    p = points.select(F.col(key).alias("_key"), F.col(x).alias("_px"), F.col(y).alias("_py"))
+    n = nodes.select(F.col(node).alias("_tie"), F.col(x).alias("_nx"), F.col(y).alias("_ny"))
     d = F.hypot(F.col("_px") - F.col("_nx"), F.col("_py") - F.col("_ny"))
-    pairs = p.join(n, ["_cx", "_cy"]).withColumn("_d", d).where(F.col("_d") <= radius)
-    best = pairs.groupBy(key).agg(F.min(F.struct(F.col("_d").alias("d"), F.col(node).alias("n"))).alias("_b"))
-    best = best.select(key, F.col("_b.n").alias(node), F.col("_b.d").alias("dist"))
+    pairs = nearest_candidates(p, n, radius).withColumn("_d", d).where(F.col("_d") <= radius)
+    best = pairs.groupBy("_key").agg(F.min(F.struct(F.col("_d").alias("d"), F.col("_tie").alias("n"))).alias("_b"))
+    best = best.select(F.col("_key").alias(key), F.col("_b.n").alias(node), F.col("_b.d").alias("dist"))
     return points.join(best, key, "left")
 
 
@@ -126,16 +196,13 @@ def nearest_axis_value(points: DataFrame, axis: DataFrame, key: str, at: str, va
 def nearest_known_cell(points: DataFrame, cells: DataFrame, key: str, value: str, search: float,
                        x: str = "lon", y: str = "lat", required: bool = False) -> DataFrame:
     """Nearest cell with a value inside a square of half-width ``search``; NULL or an error if there is none."""
-    p = spread_cells(points.select(key, F.col(x).alias("_px"), F.col(y).alias("_py")),
-                     _cell(F.col("_px"), search), _cell(F.col("_py"), search))
-    c = cells.where(F.col(value).isNotNull()).select(F.col(x).alias("cell_x"), F.col(y).alias("cell_y")).withColumns(
-        {"_cx": _cell(F.col("cell_x"), search), "_cy": _cell(F.col("cell_y"), search)}
-    )
-    dx, dy = F.col("cell_x") - F.col("_px"), F.col("cell_y") - F.col("_py")
-    pairs = p.join(c, ["_cx", "_cy"]).where((F.abs(dx) <= search) & (F.abs(dy) <= search))
-    best = pairs.groupBy(key).agg(
-        F.min(F.struct((dx * dx + dy * dy).alias("d2"), F.col("cell_y").alias("cell_y"), F.col("cell_x").alias("cell_x"))).alias("_b")
-    ).select(key, "_b.cell_x", "_b.cell_y")
+    p = points.select(F.col(key).alias("_key"), F.col(x).alias("_px"), F.col(y).alias("_py"))
+    c = cells.where(F.col(value).isNotNull()).select(F.lit(0).alias("_tie"), F.col(x).alias("_nx"), F.col(y).alias("_ny"))
+    dx, dy = F.col("_nx") - F.col("_px"), F.col("_ny") - F.col("_py")
+    pairs = nearest_candidates(p, c, search, square=True).where((F.abs(dx) <= search) & (F.abs(dy) <= search))
+    best = pairs.groupBy("_key").agg(
+        F.min(F.struct((dx * dx + dy * dy).alias("d2"), F.col("_ny").alias("cell_y"), F.col("_nx").alias("cell_x"))).alias("_b")
+    ).select(F.col("_key").alias(key), "_b.cell_x", "_b.cell_y")
     out = points.join(best, key, "left")
     if required:
         message = F.concat(F.lit("no cell with a value near "), F.col(key).cast("string"))
