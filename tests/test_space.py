@@ -166,6 +166,36 @@ def test_despeckle_equals_mirrored_median(spark):
     np.testing.assert_allclose(got, want)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_fill_of_rough_ground_with_holes_and_absent_cells(spark, seed):
+    """Water that has to cross many tiles, plateaus, missing and absent cells."""
+    rng = np.random.default_rng(seed)
+    z = rng.integers(0, 6, (26, 31)).astype(float)
+    z[rng.random(z.shape) < 0.02] = np.nan
+    z[3:20, 4] = z[3:20, 27] = z[3, 4:28] = z[20, 4:28] = 9.0
+    z[20, 11] = 7.0
+    cells = as_cells(spark, z).where(~((F.col("row") == 12) & (F.col("col") == 13)))
+    z[12, 13] = np.nan
+    np.testing.assert_array_equal(as_array(cs.fill_depressions(cells, tile=5), "filled", z.shape), priority_flood(z))
+
+
+def test_despeckle_with_absent_cells(spark):
+    """A cell without a row counts as the median of the raster, as one without a value does."""
+    rng = np.random.default_rng(6)
+    z = rng.normal(0, 1, (17, 23))
+    z[rng.random(z.shape) < 0.05] = np.nan
+    gone = np.isnan(z) & (rng.random(z.shape) < 0.6)
+    gone[5:12, 5:9] = True
+    z[gone] = np.nan
+    full = np.pad(np.where(np.isnan(z), np.nanmedian(z), z), 2, mode="symmetric")
+    want = np.median(np.lib.stride_tricks.sliding_window_view(full, (5, 5)), axis=(2, 3))
+    want[np.isnan(z)] = np.nan
+    rows = [(i, j, None if np.isnan(v) else float(v)) for (i, j), v in np.ndenumerate(z) if not gone[i, j]]
+    cells = spark.createDataFrame(rows, "row int, col int, value double")
+    for tile in (4, 6, 64):
+        np.testing.assert_allclose(as_array(cs.despeckle(cells, tile=tile), "value", z.shape), want)
+
+
 def test_plane_has_constant_slope_up_to_the_border(spark):
     z = np.add.outer(np.arange(9.0) * 3, np.arange(7.0) * 4)
     out = cs.slope_aspect(as_cells(spark, z), 1.0, tile=4)
