@@ -24,10 +24,11 @@ from hydroseries.llm.induction import Store, suffix_order
 from hydroseries.session import cut_lineage
 
 SPAN, GRAM = 100, 32
-#: Bytes of distinct texts per shard (only their stretches are sorted) and bytes of stretches that one task sorts.
-SHARD_BYTES, SORT_BYTES = 8 << 20, 16 << 20
-#: Windows whose anchors are found in one go; stretches closer than this are one.
+#: Bytes of texts per shard (only their stretches are sorted), of stretches that one task sorts, and of texts per partition.
+SHARD_BYTES, SORT_BYTES, PART_BYTES = 8 << 20, 16 << 20, 128 << 20
+#: Bytes whose anchors are found in one go (places in them have 20 bits); stretches closer than this are one.
 _BLOCK, _GAP = 1 << 20, 64
+_HIGH = np.uint64(~((1 << 20) - 1) & ((1 << 64) - 1))
 _LAST = (1 << 63) - 1
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -48,37 +49,71 @@ def _unpack(packed: bytes, coder=[]) -> bytes:
     return coder[0].decompress(packed)
 
 
-def anchor_runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window and anchor of each run of windows with one anchor; anchors found at several places of this text.
+def _pieces(texts: list[bytes]) -> list[list[tuple[int, int, bytes]]]:
+    """Blocks of pieces (text, offset, bytes); long texts are cut so that every window lies in one piece."""
+    blocks, block, size = [], [], 0
+    for k, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - SPAN + 1), _BLOCK // 2):
+            part = text[at : at + _BLOCK // 2 + SPAN - 1]
+            if len(part) < SPAN:
+                continue
+            if size + len(part) > _BLOCK:
+                blocks.append(block)
+                block, size = [], 0
+            block.append((k, at, part))
+            size += len(part)
+    return [*blocks, block] if block else blocks
 
-    The last are a superset: hashes of runs of bytes that recur count even where they are no anchor the second time.
+
+def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor, all texts at once, in order: text, first window, end (the window after the last), anchor.
+
+    The anchor is the run of 32 bytes whose hash has the least leading 44 bits, the first such run on a tie: equal windows have it
+    at the same place, so two equal windows of one text belong to two runs of the same anchor.
     """
-    n = len(text) - SPAN + 1
-    starts, anchors, again = [], [], []
-    for at in range(0, n, _BLOCK):
-        part = text[at : min(len(text), at + _BLOCK + SPAN - 1)]
-        words = np.ndarray((len(part) - 7,), dtype="<u8", buffer=part, strides=(1,)).copy()
-        m = len(part) - GRAM + 1
+    found = []
+    for block in _pieces(texts):
+        sizes = np.array([len(part) for _, _, part in block])
+        joined = b"".join([part for _, _, part in block])
+        words = np.ndarray((len(joined) - 7,), dtype="<u8", buffer=joined, strides=(1,)).copy()
+        m = len(joined) - GRAM + 1
         grams = words[:m] * _ODD[0]
         for k in (1, 2, 3):
             grams += words[8 * k : 8 * k + m] * _ODD[k]
         grams = mix(grams)
-        least = sliding(grams, SPAN - GRAM + 1, np.minimum)
-        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        value = least[first]
-        each = np.unique(value)
-        marked = np.zeros(1 << 16, dtype=bool)
-        marked[each & np.uint64(0xFFFF)] = True
-        met = np.sort(grams[marked[grams & np.uint64(0xFFFF)]])
-        again.append(met[1:][met[1:] == met[:-1]])
-        again.append(each)
-        starts.append(first + at)
-        anchors.append(value)
-    if not starts:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
-    twice = np.sort(np.concatenate([np.unique(np.concatenate(again[k : k + 2])) for k in range(1, len(again), 2)]))
-    several = np.concatenate([*again[::2], twice[1:][twice[1:] == twice[:-1]]])
-    return np.concatenate(starts), np.concatenate(anchors), np.unique(several)
+        place = np.arange(m, dtype=np.uint64)
+        least = sliding((grams & _HIGH) | place, SPAN - GRAM + 1, np.minimum)
+        # Windows over the end of a piece are none: a run ends there, and the next one begins with the next piece.
+        ends = np.cumsum(sizes)
+        first = ends - sizes
+        cut = least[1:] != least[:-1]
+        after = ends - SPAN + 1
+        cut[first[1:] - 1] = True
+        cut[after[:-1] - 1] = True
+        starts = np.concatenate([[0], np.flatnonzero(cut) + 1])
+        stops = np.append(starts[1:], len(least))
+        piece = np.searchsorted(first, starts, side="right") - 1
+        good = starts < after[piece]
+        starts, stops, piece = starts[good], stops[good], piece[good]
+        anchors = grams[(least[starts] & ~_HIGH).astype(np.int64)]
+        shift = np.array([at for _, at, _ in block])[piece] - first[piece]
+        found.append((np.array([k for k, _, _ in block])[piece], starts + shift, stops + shift, anchors))
+    if not found:
+        return tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _some(rows, at: int):
+    """Rows some at a time, by the size of their packed text."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[at])
+        if size >= _BLOCK // 2:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _base(rows: DataFrame) -> DataFrame:
@@ -95,8 +130,12 @@ def _base(rows: DataFrame) -> DataFrame:
     return map_batches(rows, run, "doc long, sha binary, n_bytes long")
 
 
-def _distinct(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """uid, doc, sha, z: every distinct text long enough to hold a window once, with its smallest document."""
+def _distinct(rows: DataFrame, firsts: DataFrame, total: int) -> DataFrame:
+    """uid, doc, sha, z: every distinct text long enough to hold a window once, with its smallest document.
+
+    ``uid`` is a hash of doc and sha, and the rows stay dealt out by it: later joins by ``uid`` move only what they add to the texts. Two
+    texts of one uid do no harm: their document tells them apart.
+    """
 
     def run(batches):
         out = Buffer("doc", "sha", "z")
@@ -108,66 +147,68 @@ def _distinct(rows: DataFrame, firsts: DataFrame) -> DataFrame:
                 yield out.take()
         yield out.take()
 
-    packed = map_batches(rows, run, "doc long, sha binary, z binary")
-    once = packed.join(firsts.select("sha", F.col("first").alias("doc")), ["doc", "sha"]).dropDuplicates(["doc", "sha"])
-    return cut_lineage(once.withColumn("uid", F.monotonically_increasing_id()))
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    uid = F.xxhash64("doc", "sha").alias("uid")
+    packed = map_batches(rows, run, "doc long, sha binary, z binary").select(uid, "doc", "sha", "z").repartition(n, "uid")
+    first = firsts.select(F.xxhash64("first", "sha").alias("uid"), F.col("first").alias("_doc"), F.col("sha").alias("_sha"))
+    # Written as a difference: as an equality it would become a key of the join, and the texts would be dealt out anew.
+    same = (F.col("doc") - F.col("_doc") == 0) & (F.xxhash64("sha") - F.xxhash64("_sha") == 0)
+    once = packed.join(first, "uid").where(same)
+    return cut_lineage(once.select("uid", "doc", "sha", "z").dropDuplicates(["uid", "doc", "sha"]))
 
 
 def _anchors(distinct: DataFrame) -> DataFrame:
-    """fp, uid, again: the anchors of each text, and whether the text holds them at several places."""
+    """fp, uid, n: the anchors of each text, and whether the text holds it once or at several places (2)."""
 
     def run(batches):
-        for uid, z in rows_of(batches, "uid", "z"):
-            _, anchors, several = anchor_runs(_unpack(z))
-            each = np.unique(anchors)
-            yield {"fp": signed(each), "uid": np.full(len(each), uid), "again": np.isin(each, several)}
-
-    def together(batches):
-        held, size = [], 0
-        for part in run(batches):
-            held.append(part)
-            size += len(part["fp"])
-            if size >= 50_000:
-                yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
-                held, size = [], 0
-        if held:
-            yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        for rows in _some(rows_of(batches, "uid", "z"), 1):
+            text, _, _, anchors = anchor_runs([_unpack(z) for _, z in rows])
+            order = np.lexsort((anchors, text))
+            text, anchors = text[order], anchors[order]
+            first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (anchors[1:] != anchors[:-1])])[: len(text)])
+            n = np.minimum(np.diff(np.append(first, len(text))), 2)
+            uids = np.array([uid for uid, _ in rows], dtype=np.int64)
+            yield {"fp": signed(anchors[first]), "uid": uids[text[first]], "n": n}
 
-    return map_batches(distinct.select("uid", "z"), together, "fp long, uid long, again boolean")
+    return map_batches(distinct.select("uid", "z"), run, "fp long, uid long, n long")
 
 
 def _stretches(distinct: DataFrame, wanted: DataFrame) -> DataFrame:
     """shard, doc, uid, firsts, sizes, z: of a text, the stretches that one shard sorts. ``wanted``: uid, routes (anchor, shard)."""
 
     def run(batches):
-        names = ("shard", "doc", "uid", "firsts", "sizes", "n", "z")
-        out = Buffer(*names)
-        for uid, doc, z, fps, shards in rows_of(batches, "uid", "doc", "z", "fps", "shards"):
-            text = _unpack(z)
-            starts, anchors, _ = anchor_runs(text)
-            ends = np.append(starts[1:], len(text) - SPAN + 1)
-            fps, shards = np.array(fps, dtype=np.int64), np.array(shards)
-            order = np.argsort(fps)
-            fps, shards = fps[order], shards[order]
-            at = np.minimum(np.searchsorted(fps, signed(anchors)), len(fps) - 1)
-            found = np.flatnonzero(fps[at] == signed(anchors))
-            to = shards[at[found]]
-            by = np.argsort(to, kind="stable")
-            found, to = found[by], to[by]
-            s, e = starts[found], ends[found]
-            # Runs of one shard close to each other are one stretch.
-            new = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (s[1:] - e[:-1] > _GAP)]))
-            s, e, to = s[new], e[np.append(new[1:], len(e)) - 1] + SPAN - 1, to[new]
-            edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                whole = b"".join([text[x:y] for x, y in zip(s[a:b].tolist(), e[a:b].tolist())])
-                packed = _pack(whole)
-                out.add(int(to[a]), doc, uid, s[a:b], (e - s)[a:b], len(whole), packed, size=len(packed) + 16 * (b - a))
-            if out.full():
-                yield out.take()
+        out = Buffer("shard", "doc", "uid", "firsts", "sizes", "n", "z")
+        for rows in _some(rows_of(batches, "uid", "doc", "fps", "shards", "z"), 4):
+            texts = [_unpack(r[4]) for r in rows]
+            text_of, starts, ends, anchors = anchor_runs(texts)
+            edges = np.searchsorted(text_of, np.arange(len(rows) + 1))
+            for k, (uid, doc, fps, shards, _) in enumerate(rows):
+                mine = slice(int(edges[k]), int(edges[k + 1]))
+                cut(out, texts[k], uid, doc, fps, shards, starts[mine], ends[mine], signed(anchors[mine]))
+                if out.full():
+                    yield out.take()
         yield out.take()
 
-    joined = wanted.join(distinct.select("uid", "doc", "z"), "uid")
+    def cut(out, text, uid, doc, fps, shards, starts, ends, anchors):
+        fps, shards = np.array(fps, dtype=np.int64), np.array(shards)
+        order = np.argsort(fps)
+        fps, shards = fps[order], shards[order]
+        at = np.minimum(np.searchsorted(fps, anchors), len(fps) - 1)
+        found = np.flatnonzero(fps[at] == anchors)
+        to = shards[at[found]]
+        by = np.argsort(to, kind="stable")
+        found, to = found[by], to[by]
+        s, e = starts[found], ends[found]
+        # Runs of one shard close to each other are one stretch.
+        new = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (s[1:] - e[:-1] > _GAP)]))
+        s, e, to = s[new], e[np.append(new[1:], len(e)) - 1] + SPAN - 1, to[new]
+        edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            whole = b"".join([text[x:y] for x, y in zip(s[a:b].tolist(), e[a:b].tolist())])
+            packed = _pack(whole)
+            out.add(int(to[a]), doc, uid, s[a:b], (e - s)[a:b], len(whole), packed, size=len(packed) + 16 * (b - a))
+
+    joined = distinct.select("uid", "doc", "z").join(wanted, "uid")
     return map_batches(joined, run, "shard long, doc long, uid long, firsts array<long>, sizes array<long>, n long, z binary")
 
 
@@ -257,8 +298,8 @@ def _cut(spans: DataFrame, distinct: DataFrame) -> DataFrame:
                 yield out.take()
         yield out.take()
 
-    together = spans.groupBy("uid").agg(F.collect_list("at").alias("parts"))
-    joined = together.join(distinct, "uid")
+    together = spans.groupBy("uid", "doc").agg(F.collect_list("at").alias("parts")).withColumnRenamed("doc", "_doc")
+    joined = distinct.join(together, "uid").where(F.col("doc") - F.col("_doc") == 0).select("doc", "sha", "z", "parts")
     return map_batches(joined, run, "doc long, sha binary, n_removed long, kept binary, spans array<long>")
 
 
@@ -280,10 +321,9 @@ def repeated_substrings(
     firsts = base.groupBy("sha").agg(F.min("doc").alias("first"), F.max("n_bytes").alias("_n"))
     total = base.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))
-    distinct = _distinct(rows, firsts.where(F.col("_n") >= SPAN))
+    distinct = _distinct(rows, firsts.where(F.col("_n") >= SPAN), total)
     single = _anchors(distinct)
-    shared = single.groupBy("fp").agg(F.min("uid").alias("_lo"), F.max("uid").alias("_hi"), F.max("again").alias("_again"))
-    shared = shared.where((F.col("_lo") < F.col("_hi")) | F.col("_again"))
+    shared = single.groupBy("fp").agg(F.min("uid").alias("_lo"), F.sum("n").alias("_n")).where("_n > 1")
     route = single.join(shared.select("fp", F.pmod(F.xxhash64("_lo"), F.lit(shards)).alias("shard")), "fp")
     wanted = route.groupBy("uid").agg(F.collect_list("fp").alias("fps"), F.collect_list("shard").alias("shards"))
     parts = cut_lineage(_stretches(distinct, wanted))
@@ -291,12 +331,12 @@ def repeated_substrings(
     salt = F.pmod(F.xxhash64("uid"), F.col("salts")).cast("int")
     dealt = parts.join(salts, "shard").withColumn("salt", salt).repartition("shard", "salt")
     found = cut_lineage(_sorted(dealt.sortWithinPartitions("shard", "salt", "doc", "uid"), memory))
-    gone = found.where("kind = 0").select("uid", "at")
+    gone = found.where("kind = 0").select("uid", "doc", "at")
     # Shards of several tasks: of equal windows that different tasks keep, all but the earliest go too.
     kept = found.where("kind = 1").select("high", "low", "doc", "uid", F.col("at")[0].alias("first"))
     earliest = kept.groupBy("high", "low").agg(F.min(F.struct("doc", "uid", "first")).alias("_least"), F.count("*").alias("_n"))
     late = kept.join(earliest.where("_n > 1"), ["high", "low"]).where(F.struct("doc", "uid", "first") > F.col("_least"))
-    gone = gone.unionByName(late.select("uid", F.array(F.col("first"), F.lit(1).cast("long")).alias("at")))
+    gone = gone.unionByName(late.select("uid", "doc", F.array(F.col("first"), F.lit(1).cast("long")).alias("at")))
     cut = _cut(gone, distinct)
     out = base.join(firsts.select("sha", "first"), "sha").join(cut, ["doc", "sha"], "left")
     copy = (F.col("doc") > F.col("first")) & (F.col("n_bytes") >= SPAN)
