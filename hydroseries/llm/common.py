@@ -7,7 +7,9 @@ and ``bytes.lower`` know ASCII only, which is what the word rule ``[^\\x20\\x09-
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from hydroseries.session import shared_folder
+
+@contextmanager
+def bucketed(df: DataFrame, n: int, key: str) -> Iterator[DataFrame]:
+    """The rows as a table of ``n`` buckets by ``key`` in the shared folder, for joins that leave them where they are.
+
+    Whatever is made of the table must be written before the block ends: then it is dropped and its files are removed.
+    """
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    try:
+        df.write.bucketBy(n, key).option("path", path).option("compression", "uncompressed").saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 SPACES = b" \t\n\x0b\x0c\r"
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydroseries.llm.common import Buffer, map_batches, mix, rows_of, signed, sliding, texts
+from hydroseries.llm.common import Buffer, bucketed, map_batches, mix, rows_of, signed, sliding, texts
 from hydroseries.llm.induction import Store, suffix_order
 from hydroseries.session import cut_lineage
 
@@ -130,11 +130,11 @@ def _base(rows: DataFrame) -> DataFrame:
     return map_batches(rows, run, "doc long, sha binary, n_bytes long")
 
 
-def _distinct(rows: DataFrame, firsts: DataFrame, total: int) -> DataFrame:
+def _distinct(rows: DataFrame, firsts: DataFrame, total: int) -> tuple[DataFrame, int]:
     """uid, doc, sha, z: every distinct text long enough to hold a window once, with its smallest document.
 
-    ``uid`` is a hash of doc and sha, and the rows stay dealt out by it: later joins by ``uid`` move only what they add to the texts. Two
-    texts of one uid do no harm: their document tells them apart.
+    ``uid`` is a hash of doc and sha, and the rows are a table bucketed by it: later joins by ``uid`` move only what they add to the
+    texts. Two texts of one uid do no harm: their document tells them apart.
     """
 
     def run(batches):
@@ -149,12 +149,12 @@ def _distinct(rows: DataFrame, firsts: DataFrame, total: int) -> DataFrame:
 
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     uid = F.xxhash64("doc", "sha").alias("uid")
-    packed = map_batches(rows, run, "doc long, sha binary, z binary").select(uid, "doc", "sha", "z").repartition(n, "uid")
+    packed = map_batches(rows, run, "doc long, sha binary, z binary").select(uid, "doc", "sha", "z").repartition(n, "uid")  # as many as buckets: dealt out once
     first = firsts.select(F.xxhash64("first", "sha").alias("uid"), F.col("first").alias("_doc"), F.col("sha").alias("_sha"))
     # Written as a difference: as an equality it would become a key of the join, and the texts would be dealt out anew.
     same = (F.col("doc") - F.col("_doc") == 0) & (F.xxhash64("sha") - F.xxhash64("_sha") == 0)
     once = packed.join(first, "uid").where(same)
-    return cut_lineage(once.select("uid", "doc", "sha", "z").dropDuplicates(["uid", "doc", "sha"]))
+    return once.select("uid", "doc", "sha", "z").dropDuplicates(["uid", "doc", "sha"]), n
 
 
 def _anchors(distinct: DataFrame) -> DataFrame:
@@ -303,6 +303,26 @@ def _cut(spans: DataFrame, distinct: DataFrame) -> DataFrame:
     return map_batches(joined, run, "doc long, sha binary, n_removed long, kept binary, spans array<long>")
 
 
+def _repeats(distinct: DataFrame, shards: int, memory: int) -> DataFrame:
+    """doc, sha, n_removed, kept, spans of the texts that lose bytes."""
+    single = _anchors(distinct)
+    shared = single.groupBy("fp").agg(F.min("uid").alias("_lo"), F.sum("n").alias("_n")).where("_n > 1")
+    route = single.join(shared.select("fp", F.pmod(F.xxhash64("_lo"), F.lit(shards)).alias("shard")), "fp")
+    wanted = route.groupBy("uid").agg(F.collect_list("fp").alias("fps"), F.collect_list("shard").alias("shards"))
+    parts = cut_lineage(_stretches(distinct, wanted))
+    salts = parts.groupBy("shard").agg(F.ceil(F.sum("n") / SORT_BYTES).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("uid"), F.col("salts")).cast("int")
+    dealt = parts.join(salts, "shard").withColumn("salt", salt).repartition("shard", "salt")
+    found = cut_lineage(_sorted(dealt.sortWithinPartitions("shard", "salt", "doc", "uid"), memory))
+    gone = found.where("kind = 0").select("uid", "doc", "at")
+    # Shards of several tasks: of equal windows that different tasks keep, all but the earliest go too.
+    kept = found.where("kind = 1").select("high", "low", "doc", "uid", F.col("at")[0].alias("first"))
+    earliest = kept.groupBy("high", "low").agg(F.min(F.struct("doc", "uid", "first")).alias("_least"), F.count("*").alias("_n"))
+    late = kept.join(earliest.where("_n > 1"), ["high", "low"]).where(F.struct("doc", "uid", "first") > F.col("_least"))
+    gone = gone.unionByName(late.select("uid", "doc", F.array(F.col("first"), F.lit(1).cast("long")).alias("at")))
+    return cut_lineage(_cut(gone, distinct))
+
+
 def repeated_substrings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = 512 << 20
 ) -> DataFrame:
@@ -321,23 +341,8 @@ def repeated_substrings(
     firsts = base.groupBy("sha").agg(F.min("doc").alias("first"), F.max("n_bytes").alias("_n"))
     total = base.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))
-    distinct = _distinct(rows, firsts.where(F.col("_n") >= SPAN), total)
-    single = _anchors(distinct)
-    shared = single.groupBy("fp").agg(F.min("uid").alias("_lo"), F.sum("n").alias("_n")).where("_n > 1")
-    route = single.join(shared.select("fp", F.pmod(F.xxhash64("_lo"), F.lit(shards)).alias("shard")), "fp")
-    wanted = route.groupBy("uid").agg(F.collect_list("fp").alias("fps"), F.collect_list("shard").alias("shards"))
-    parts = cut_lineage(_stretches(distinct, wanted))
-    salts = parts.groupBy("shard").agg(F.ceil(F.sum("n") / SORT_BYTES).cast("int").alias("salts"))
-    salt = F.pmod(F.xxhash64("uid"), F.col("salts")).cast("int")
-    dealt = parts.join(salts, "shard").withColumn("salt", salt).repartition("shard", "salt")
-    found = cut_lineage(_sorted(dealt.sortWithinPartitions("shard", "salt", "doc", "uid"), memory))
-    gone = found.where("kind = 0").select("uid", "doc", "at")
-    # Shards of several tasks: of equal windows that different tasks keep, all but the earliest go too.
-    kept = found.where("kind = 1").select("high", "low", "doc", "uid", F.col("at")[0].alias("first"))
-    earliest = kept.groupBy("high", "low").agg(F.min(F.struct("doc", "uid", "first")).alias("_least"), F.count("*").alias("_n"))
-    late = kept.join(earliest.where("_n > 1"), ["high", "low"]).where(F.struct("doc", "uid", "first") > F.col("_least"))
-    gone = gone.unionByName(late.select("uid", "doc", F.array(F.col("first"), F.lit(1).cast("long")).alias("at")))
-    cut = _cut(gone, distinct)
+    with bucketed(*_distinct(rows, firsts.where(F.col("_n") >= SPAN), total), "uid") as distinct:
+        cut = _repeats(distinct, shards, memory)
     out = base.join(firsts.select("sha", "first"), "sha").join(cut, ["doc", "sha"], "left")
     copy = (F.col("doc") > F.col("first")) & (F.col("n_bytes") >= SPAN)
     nothing = F.lower(F.sha2(F.lit("").cast("binary"), 256))
