@@ -13,6 +13,7 @@ from hydroseries.functions import timeparts as tp
 from hydroseries.operators.asof import asof_fill
 from hydroseries.operators.frames import BLOCK_ROWS, first_per_key, halo, in_blocks, scan_series, with_position
 from hydroseries.operators.grid import complete_grid
+from hydroseries.operators.sliding import median_of_groups
 
 
 def harmonize_series(
@@ -90,12 +91,15 @@ def centred_median(
 def trailing_median(
     df: DataFrame, keys: Sequence[str], ts: str, value: str, hours: int = 24, min_obs: int = 12, out: str = "base"
 ) -> DataFrame:
-    """Median of the values in (t - hours, t]; NULL below ``min_obs`` values. Works on irregular times."""
+    """Median of the values in (t - hours, t], missing ones skipped; NULL below ``min_obs`` values. Works on irregular times.
+
+    Blocks of fourteen times the reach, each with the rows of the reach before it, are dealt out; a row costs
+    the logarithm of the number of rows within the reach (``sliding``), however densely the series is sampled.
+    """
     reach = int(hours) * 3_600_000_000
     wide = halo(df.withColumn("_us", tp.micros(F.col(ts))), keys, "_us", before=reach, rows=14 * reach)
-    w = Window.partitionBy(*keys, "_block").orderBy("_us").rangeBetween(-(reach - 1), 0)
-    mid = F.when(F.count(value).over(w) >= min_obs, F.percentile(value, 0.5).over(w))
-    return wide.withColumn(out, mid).where("_home").select(*df.columns, out)
+    done = median_of_groups(wide, [*keys, "_block"], "_us", value, reach, min_obs, out)
+    return done.where("_home").select(*df.columns, out)
 
 
 def hourly_spike_filter(
