@@ -8,9 +8,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
-from hydroseries.functions.geo import EARTH_KM, haversine_km, inside_ring
+from hydroseries.functions.geo import EARTH_KM, haversine_km
 from hydroseries.operators.frames import join_per_key, scan_series
 from hydroseries.session import cut_lineage
 
@@ -147,29 +148,110 @@ def nearest_within(points: DataFrame, nodes: DataFrame, key: str, node: str, rad
     return points.join(best, key, "left")
 
 
+#: Where the lines of the cover run, as parts of its cells: no border of round coordinates, level, upright or at 45 degrees, meets a corner.
+_OFFSETS = {"x": 0.3819660112501051, "y": 0.2679491924311227}
+
+
+def _edges(polygons: DataFrame, name: str, ring: str) -> DataFrame:
+    """_pid, _name, x1, y1, x2, y2: the edges of all rings of a polygon."""
+    shapes = polygons.select(F.col(name).alias("_name"), F.col(ring).alias("_rings"))
+    if not isinstance(shapes.schema["_rings"].dataType.elementType, ArrayType):
+        shapes = shapes.withColumn("_rings", F.array("_rings"))
+    shapes = shapes.distinct().withColumn("_pid", F.xxhash64("_name", "_rings"))
+    rings = shapes.select("_pid", "_name", F.explode("_rings").alias("_ring")).withColumn("_n", F.size("_ring"))
+    pairs = F.transform("_ring", lambda a, k: F.struct(a.alias("a"), F.element_at("_ring", ((k + 1) % F.col("_n") + 1).cast("int")).alias("b")))
+    e = rings.select("_pid", "_name", F.explode(pairs).alias("_e"))
+    return e.select("_pid", "_name", *[F.col(f"_e.{v}.{c}").alias(f"{c}{k}") for k, v in ((1, "a"), (2, "b")) for c in "xy"]).where(
+        (F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
+
+
+def _line(k: Column, cell: float, axis: str) -> Column:
+    return (k + _OFFSETS[axis]) * cell
+
+
+def _place(c: Column, cell: float, axis: str) -> Column:
+    return F.floor(c / cell - _OFFSETS[axis]).cast("long")
+
+
+def polygon_cover(polygons: DataFrame, name: str, ring: str = "ring", cell: float = 0.05) -> DataFrame:
+    """_pid, _name, _cx, _cy, _inside, _edges: the cells a polygon takes part in.
+
+    ``_edges`` are those that touch the cell, NULL where the cell lies inside; ``_inside`` is whether its lower left corner does. Cells
+    outside are not listed. Every edge is followed through the rows of cells it runs through, and the cells inside are the runs between
+    the crossings of a row's lower line, so a ring goes nowhere as a whole and a cell holds its own edges only.
+    """
+    e = _edges(polygons, name, ring)
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = e.withColumn("_cy", F.explode(F.sequence(_place(low, cell, "y"), _place(high, cell, "y"))))
+    slope = (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+
+    def at(y: Column) -> Column:
+        return F.least(F.greatest(F.col("x1") + (y - F.col("y1")) * slope, F.least("x1", "x2")), F.greatest("x1", "x2"))
+
+    ends = [at(F.greatest(low, _line(F.col("_cy"), cell, "y"))), at(F.least(high, _line(F.col("_cy") + 1, cell, "y")))]
+    left = F.coalesce(F.least(*ends), F.least("x1", "x2")) - cell * 1e-6
+    right = F.coalesce(F.greatest(*ends), F.greatest("x1", "x2")) + cell * 1e-6
+    flat = F.col("y1") == F.col("y2")
+    left, right = F.when(flat, F.least("x1", "x2")).otherwise(left), F.when(flat, F.greatest("x1", "x2")).otherwise(right)
+    touched = rows.withColumn("_cx", F.explode(F.sequence(_place(left, cell, "x"), _place(right, cell, "x"))))
+    border = touched.groupBy("_pid", "_name", "_cx", "_cy").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
+    # Crossings of the lower line of each row, from left to right: corners between an odd one and the next are inside.
+    y = _line(F.col("_cy"), cell, "y")
+    cross = rows.where((F.col("y1") > y) != (F.col("y2") > y)).select(
+        "_pid", "_name", "_cy", ((F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")).alias("_x"))
+    line = Window.partitionBy("_pid", "_name", "_cy").orderBy("_x")
+    pairs = cross.withColumns({"_k": F.row_number().over(line), "_to": F.lead("_x").over(line)}).where(F.col("_k") % 2 == 1)
+
+    def corner(c: Column) -> Column:
+        """The first line at or beyond c."""
+        k = _place(c, cell, "x")
+        return F.when(_line(k, cell, "x") < c, k + 1).otherwise(k)
+
+    pairs = pairs.withColumns({"_a": corner(F.col("_x")), "_b": corner(F.col("_to")) - 1}).where(F.col("_a") <= F.col("_b"))
+    inside = pairs.select("_pid", "_name", F.explode(F.sequence("_a", "_b")).alias("_cx"), "_cy", F.lit(True).alias("_in"))
+    both = border.join(inside, ["_pid", "_name", "_cx", "_cy"], "full")
+    return both.select("_pid", "_name", "_cx", "_cy", F.coalesce("_in", F.lit(False)).alias("_inside"), "_edges")
+
+
+def _in_cell(px: Column, py: Column, x0: Column, yc: Column, inside: Column, edges: Column) -> Column:
+    """Whether a point of a cell is in its polygon: that of the corner, turned round at every edge on the way up and then across."""
+
+    def crossed(e) -> Column:
+        def turn(y: Column) -> Column:
+            return (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x0 - e["x1"])
+
+        def above(y: Column) -> Column:
+            """The edge crosses the line of the corner above y."""
+            cut = F.when(e["x2"] > e["x1"], turn(y) < 0).otherwise(turn(y) > 0)
+            return F.when((e["y1"] > y) & (e["y2"] > y), True).when((e["y1"] <= y) & (e["y2"] <= y), False).otherwise(cut)
+
+        def beyond() -> Column:
+            """The edge crosses the line of the point to the right of the corner's line."""
+            cut = F.when(e["y2"] > e["y1"], turn(py) > 0).otherwise(turn(py) < 0)
+            return F.when((e["x1"] > x0) & (e["x2"] > x0), True).when((e["x1"] <= x0) & (e["x2"] <= x0), False).otherwise(cut)
+
+        up = ((e["x1"] > x0) != (e["x2"] > x0)) & (above(yc) != above(py))
+        at = (e["x2"] - e["x1"]) * (py - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+        across = ((e["y1"] > py) != (e["y2"] > py)) & (beyond() != (px < at))
+        return F.coalesce(up, F.lit(False)).cast("int") + F.coalesce(across, F.lit(False)).cast("int")
+
+    turns = F.aggregate(edges, F.lit(0), lambda acc, e: acc + crossed(e))
+    return F.when(edges.isNull(), inside).otherwise((inside.cast("int") + turns) % 2 == 1)
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, name: str, ring: str = "ring",
                        x: str = "lon", y: str = "lat", cell: float = 0.05) -> DataFrame:
     """Left join of points with the polygons that contain them.
 
-    A polygon is entered in every grid cell its bounding box touches; a point only meets
-    the polygons of its own cell.
+    ``ring`` is one ring or an array of rings, closed or not, under the even-odd rule: parts lie beside each other, holes inside
+    a part. A point meets the polygons of its own cell (``polygon_cover``): those around the whole cell by name only, others by
+    the edges that touch the cell.
     """
-    lo = lambda c: F.array_min(F.transform(ring, lambda p: p[c]))
-    hi = lambda c: F.array_max(F.transform(ring, lambda p: p[c]))
-    shapes = polygons.select(
-        name, ring,
-        F.explode(F.sequence(_cell(lo("x"), cell), _cell(hi("x"), cell))).alias("_cx"),
-        lo("y").alias("_y0"), hi("y").alias("_y1"),
-    ).select(name, ring, "_cx", F.explode(F.sequence(_cell(F.col("_y0"), cell), _cell(F.col("_y1"), cell))).alias("_cy"))
-    at = points.withColumns({"_cx": _cell(F.col(x), cell), "_cy": _cell(F.col(y), cell)})
-    s = shapes.alias("s")
-    p = at.alias("p")
-    on = (
-        (F.col("p._cx") == F.col("s._cx"))
-        & (F.col("p._cy") == F.col("s._cy"))
-        & inside_ring(F.col(f"p.{x}"), F.col(f"p.{y}"), F.col(f"s.{ring}"))
-    )
-    return p.join(s, on, "left").select(*[F.col(f"p.{c}") for c in points.columns], F.col(f"s.{name}"))
+    p = points.withColumns({"_cx": _place(F.col(x), cell, "x"), "_cy": _place(F.col(y), cell, "y")}).alias("p")
+    s = polygon_cover(polygons, name, ring, cell).alias("s")
+    on = (F.col("p._cx") == F.col("s._cx")) & (F.col("p._cy") == F.col("s._cy")) & _in_cell(
+        F.col(f"p.{x}"), F.col(f"p.{y}"), _line(F.col("s._cx"), cell, "x"), _line(F.col("s._cy"), cell, "y"), F.col("s._inside"), F.col("s._edges"))
+    return p.join(s, on, "left").select(*[F.col(f"p.{c}") for c in points.columns], F.col("s._name").alias(name))
 
 
 def nearest_axis_value(points: DataFrame, axis: DataFrame, key: str, at: str, value: str, step: float, out: str) -> DataFrame:

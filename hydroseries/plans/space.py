@@ -109,6 +109,31 @@ def j08_point_in_polygon(spark, sf_dir):
     return out.select("c_custkey", "place")
 
 
+# A polygon of two parts, one of them with a hole and an island in it, and a bent one; even-odd over all rings.
+RINGS = (
+    ("PARTS", (((106.60, -6.30), (106.93, -6.28), (106.95, -5.96), (106.62, -5.93)), ((106.68, -6.22), (106.86, -6.20), (106.84, -6.02), (106.70, -6.04)),
+               ((106.74, -6.14), (106.80, -6.13), (106.77, -6.08)), ((107.02, -6.33), (107.17, -6.31), (107.09, -6.17)))),
+    ("BENT", (((106.56, -6.38), (107.18, -6.36), (107.15, -6.32), (106.97, -6.345), (106.99, -6.05), (107.12, -5.90), (107.05, -5.88), (106.965, -6.02), (106.95, -6.34)),)),
+)
+
+
+def _ring_edges() -> str:
+    rows = []
+    for place, rings in RINGS:
+        for ring in rings:
+            rows += [f"('{place}', {a[0]}, {a[1]}, {b[0]}, {b[1]})" for a, b in zip(ring, ring[1:] + ring[:1])]
+    return f"e(place, x1, y1, x2, y2) AS (SELECT a, b::DOUBLE, c::DOUBLE, d::DOUBLE, f::DOUBLE FROM (VALUES {', '.join(rows)}) t(a, b, c, d, f))"
+
+
+@query("j08_polygon_parts", f"""WITH {CUST_SQL}, {_ring_edges()}, i AS (SELECT c_custkey, place FROM c, e
+    WHERE (y1 > c_lat) != (y2 > c_lat) AND c_lon < (x2 - x1) * (c_lat - y1) / (y2 - y1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1)
+    SELECT c.c_custkey, i.place FROM c LEFT JOIN i USING (c_custkey)""")
+def j08_polygon_parts(spark, sf_dir):
+    shapes = spark.createDataFrame(
+        [(n, [[{"x": a, "y": b} for a, b in ring] for ring in rings]) for n, rings in RINGS], "place string, rings array<array<struct<x:double,y:double>>>")
+    return spatial.points_in_polygons(customers(spark, sf_dir), shapes, "place", "rings", "c_lon", "c_lat").select("c_custkey", "place")
+
+
 @query("j09_area_per_district", f"""WITH {CUST_SQL},{DIST_SQL} SELECT place, round(count(*) * 0.01, 6)::DOUBLE AS ha FROM c
     JOIN d ON c_lon > x0 AND c_lon < x1 AND c_lat > y0 AND c_lat < y1 WHERE c_acctbal > 2000 GROUP BY 1""")
 def j09_area_per_district(spark, sf_dir):
