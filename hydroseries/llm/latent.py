@@ -1,11 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are cut into passages and weighted by TF-IDF (document frequencies over all documents). Blocks of passages
-get a latent space each, by the SVD of the block, with as many dimensions as its passages span: so every passage keeps its whole
-length, however many there are. Windows of every document are folded into these spaces;
-windows near an item by cosine are candidates, which the longest common subsequence of their words decides,
-together with a check that the item's ending, which holds the answer, is there as well. So light paraphrases are found
-too: changed, missing or added words lower the measure and do not break it.
+Benchmark items are cut into passages and weighted by TF-IDF (document frequencies over all documents). A randomised SVD of all
+passages gives one latent space: Spark adds up the products of the passages' matrix with random directions, once to find the
+space and once to turn it, and what comes to the driver is terms x rank numbers. Windows of every document are
+folded into the space; those near an item by cosine are candidates. The rank is fixed, so an item keeps a share of its length
+only; the cosine is taken against that share, and a copy scores alike however many items share the space.
+The longest common subsequence of the words decides on candidates, together with a check that the item's ending, which holds
+the answer, is there as well. So light paraphrases are found too: changed, missing or added words lower the measure and do not break it.
 """
 
 from __future__ import annotations
@@ -101,31 +102,55 @@ def item_passages(benchmark: DataFrame, idf: np.ndarray, id_col: str, text_col:
     return cut_lineage(map_batches(texts(benchmark, id_col, text_col), run, schema))
 
 
-def own_space(passages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The terms in use in a block of passages (at, v) and its right singular vectors over them (terms x rank).
+def _directions(rank: int) -> np.ndarray:
+    """Random directions over all terms, the same in every task."""
+    return np.random.default_rng(5).standard_normal((TERMS, rank)).astype(np.float32)
 
-    The rank is that of the block, so no passage loses more than a thousandth of its length.
+
+def _products(passages: DataFrame, space: np.ndarray | None, rank: int) -> np.ndarray:
+    """The passages' matrix, turned over, times itself times ``space`` (random directions if None): terms x rank.
+
+    A task adds up its passages and sends a row per term in use; rows of a term are added up by Spark's shuffle.
     """
-    terms = np.unique(np.concatenate([at for at, _ in passages]))
-    rows = np.zeros((len(passages), len(terms)))
-    for row, (at, v) in zip(rows, passages):
-        row[np.searchsorted(terms, at)] = v
-    values, turn = np.linalg.eigh(rows @ rows.T)
-    keep = values > 1e-6
-    return terms, rows.T @ (turn[:, keep] / np.sqrt(values[keep]))
-
-
-class Space:
-    """Folded terms and latent vectors of the passages from ``first`` on."""
-
-    def __init__(self, first: int, passages: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray):
-        self.first = first
-        terms, space = own_space(passages)
-        self.fold = (space * idf[terms, None]).astype(np.float32)
-        self.slot = np.full(TERMS + 1, -1, dtype=np.int32)  # the last one pads; other terms are in no passage
-        self.slot[terms] = np.arange(len(terms))
-        q = np.array([v @ space[np.searchsorted(terms, at)] for at, v in passages])
-        self.queries = (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(np.float32)
+    given = None if space is None else passages.sparkSession.sparkContext.broadcast(space)
+
+    def local(batches):
+        known = _directions(rank) if given is None else given.value
+        sums: dict[int, np.ndarray] = {}
+        for at, v in rows_of(batches, "at", "v"):
+            v = np.array(v)
+            along = v @ known[at]
+            for t, x in zip(at, v):
+                if t in sums:
+                    sums[t] += x * along
+                else:
+                    sums[t] = x * along
+        yield {"at": list(sums), "z": [x.tobytes() for x in sums.values()]}
+
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
+        for at, z in rows_of(batches, "at", "z"):
+            x = np.frombuffer(z)
+            sums[at] = sums[at] + x if at in sums else x
+        yield {"at": list(sums), "z": [x.tobytes() for x in sums.values()]}
+
+    schema = "at int, z binary"
+    met = map_batches(map_batches(passages.select("at", "v"), local, schema).repartition("at"), total, schema)
+    out = np.zeros((TERMS, rank))
+    for r in met.collect():
+        out[r["at"]] = np.frombuffer(r["z"])
+    return out
+
+
+def latent_space(passages: DataFrame, rank: int, spare: int = 8) -> np.ndarray:
+    """The ``rank`` leading right singular vectors of the passages (terms x rank), by a randomised SVD with one power step."""
+    wide = rank + spare
+    basis, _ = np.linalg.qr(_products(passages, None, wide))
+    product = _products(passages, basis.astype(np.float32), wide)
+    values, turn = np.linalg.eigh(basis.T @ product)
+    best = np.argsort(-values)[:rank]
+    best = best[values[best] > 1e-6 * max(values.max(initial=0), 1e-12)]
+    return basis @ turn[:, best]
 
 
 def better(hit: tuple[float, float, float, int], was: tuple[float, float, float, int]) -> bool:
@@ -134,22 +159,28 @@ def better(hit: tuple[float, float, float, int], was: tuple[float, float, float,
 
 
 class Searcher:
-    """Finds the benchmark passages in texts. Holds the items' words and TF-IDF vectors; at most ``rank`` of them share a space."""
+    """Finds the benchmark passages of one part in texts. Holds the items' words and latent vectors."""
 
-    def __init__(self, items: list[tuple[int, list[bytes], np.ndarray, np.ndarray]], idf: np.ndarray, rank: int, cosine: float,
+    def __init__(self, items: list[tuple[int, list[bytes], np.ndarray, np.ndarray]], idf: np.ndarray, space: np.ndarray, cosine: float,
                  sure: float, likely: float, answer: float):
         self.limit, self.sure, self.likely, self.answer = cosine, sure, likely, answer
         self.items = [(i, w) for i, w, _, _ in items]
-        self.vectors = [(np.asarray(at), np.asarray(v)) for _, _, at, v in items]
-        self.idf, self.rank = idf, rank
+        # A vector is of length 1; what the space keeps of it is ``share``. Divided by its square, a copy of the item has the
+        # same product with it as with the whole vector.
+        kept = np.array([v @ space[at] for _, _, at, v in items]).reshape(len(items), space.shape[1])
+        share = np.linalg.norm(kept, axis=1, keepdims=True)
+        self.queries = (kept / np.maximum(share, 1e-3) ** 2).astype(np.float32)
+        self.longest = float(np.linalg.norm(self.queries, axis=1).max(initial=1e-9))
+        self.idf, self.space = idf, space.astype(np.float32)
 
     def prepare(self) -> None:
         """What is cheaper to make in a task than to send there."""
         self.ids = WordIds(term)
         self.squares = np.concatenate([self.idf ** 2, [0]]).astype(np.float32)
-        n, blocks = len(self.items), -(-len(self.items) // self.rank)
-        edges = [k * n // blocks for k in range(blocks + 1)] if blocks else []
-        self.spaces = [Space(x, self.vectors[x:y], self.idf) for x, y in zip(edges, edges[1:])]
+        used = np.flatnonzero(np.abs(self.space).max(axis=1, initial=0) > 1e-9)
+        self.fold = self.space[used] * self.idf[used, None].astype(np.float32)
+        self.slot = np.full(TERMS + 1, -1, dtype=np.int32)  # the last one pads; other terms are in no passage
+        self.slot[used] = np.arange(len(used))
         self.masks = [place_masks(w) for _, w in self.items]
         self.bags = [Counter(w) for _, w in self.items]
         self.sets = [frozenset(w) for _, w in self.items]
@@ -165,7 +196,7 @@ class Searcher:
             flat.extend([TERMS] * (blocks * BLOCK - len(words)))
             owner.append(np.full(blocks, k))
             ends.append(np.full(blocks, blocks))
-        if not flat or not self.spaces:
+        if not flat or not len(self.items):
             return
         flat = np.array(flat)
         owner = np.concatenate(owner)
@@ -176,29 +207,27 @@ class Searcher:
         stop = first + sizes
         norms = np.zeros(n + 1)
         np.cumsum(self.squares[flat].reshape(n, BLOCK).sum(axis=1), out=norms[1:])
-        reach = [np.minimum(place + width, stop) for width in WIDTHS]
-        lengths = [np.sqrt(norms[over] - norms[place]) for over in reach]
-        for space in self.spaces:
-            slots = space.slot[flat]
-            used = np.flatnonzero(slots >= 0)
-            if not len(used):
-                continue
-            latent = np.zeros((n + 1, space.fold.shape[1]), dtype=np.float32)
-            block = used // BLOCK
-            starts = np.flatnonzero(np.diff(block, prepend=-1))
-            latent[block[starts] + 1] = np.add.reduceat(space.fold[slots[used]], starts, axis=0)
-            np.cumsum(latent, axis=0, out=latent)
-            for over, size in zip(reach, lengths):
-                v = latent[over] - latent[place]
-                near = np.flatnonzero(np.einsum("ij,ij->i", v, v) >= (self.limit * size) ** 2)  # no cosine can be larger
-                near = near[size[near] > 0]
-                if not len(near):
-                    continue
-                cosines = (v[near] / size[near, None]).astype(np.float32) @ space.queries.T
+        slots = self.slot[flat]
+        used = np.flatnonzero(slots >= 0)
+        if not len(used):
+            return
+        latent = np.zeros((n + 1, self.fold.shape[1]), dtype=np.float32)
+        block = used // BLOCK
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        latent[block[starts] + 1] = np.add.reduceat(self.fold[slots[used]], starts, axis=0)
+        np.cumsum(latent, axis=0, out=latent)
+        for width in WIDTHS:
+            over = np.minimum(place + width, stop)
+            size = np.sqrt(norms[over] - norms[place])
+            v = latent[over] - latent[place]
+            # No product with an item can be larger than that of the lengths.
+            near = np.flatnonzero((np.sqrt(np.einsum("ij,ij->i", v, v)) * self.longest >= self.limit * size) & (size > 0))
+            for some in np.array_split(near, max(1, len(near) * len(self.items) // 4_000_000)):
+                cosines = (v[some] / size[some, None]).astype(np.float32) @ self.queries.T
                 for a, q in zip(*np.nonzero(cosines >= self.limit)):
-                    i = near[a]
+                    i = some[a]
                     at, words = int(place[i] - first[i]) * BLOCK, int(over[i] - place[i]) * BLOCK
-                    yield int(owner[i]), at, words, space.first + int(q), float(cosines[a, q])
+                    yield int(owner[i]), at, words, int(q), min(1.0, float(cosines[a, q]))
 
     def hits(self, batch: list[list[bytes]]) -> list[dict[int, tuple[float, float, float, int]]]:
         """Per text: item id -> (cosine, part of the item's words in order, part of its ending, first word)."""
@@ -228,12 +257,13 @@ class Parts:
     The driver collects a part's passages only, and documents never.
     """
 
-    def __init__(self, rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", rank: int = 128,
+    def __init__(self, rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", rank: int = 96,
                  cosine: float = 0.35, sure: float = 0.75, likely: float = 0.6, answer: float = 0.75, most: int = 4096):
-        """``rows`` as from ``common.texts``; a part has about ``most`` passages (64 words each)."""
+        """``rows`` as from ``common.texts``; a part has about ``most`` passages (64 words each), ``rank`` is that of the space of all."""
         idf = inverse_frequencies(rows)
         passages = item_passages(benchmark, idf, item_col, item_text)
         parts = -(-passages.count() // most)
+        space = latent_space(passages, rank) if parts else np.zeros((TERMS, 0))
         # Equal passages of an item are found alike, so one will do: what is left is dealt evenly.
         placed = passages.dropDuplicates(["item_id", "words"]).withColumn("_part", F.pmod(F.xxhash64("item_id", "words"), F.lit(parts)))
         if parts > 1:
@@ -246,7 +276,7 @@ class Parts:
                 key=lambda r: (r[0] is None, r[0] or 0, r[1]),
             )
             if found:
-                searcher = Searcher(found, idf, rank, cosine, sure, likely, answer)
+                searcher = Searcher(found, idf, space, cosine, sure, likely, answer)
                 self.shared.append(benchmark.sparkSession.sparkContext.broadcast(searcher))
 
     def searchers(self) -> Iterator[Searcher]:
