@@ -187,8 +187,8 @@ class Searcher:
         self.tails = [w[-max(1, len(w) // 3) :] for _, w in self.items]
         self.tail_masks = [place_masks(t) for t in self.tails]
 
-    def windows(self, batch: list[list[bytes]]) -> Iterator[tuple[int, int, int, int, float]]:
-        """(text, first word, words, item place, cosine) of every window near an item."""
+    def windows(self, batch: list[list[bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
+        """text, first block, blocks, item place and cosine of every window near an item, many at a time."""
         ids, flat, ends, owner = self.ids, [], [], []
         for k, words in enumerate(batch):
             blocks = -(-len(words) // BLOCK)
@@ -224,30 +224,56 @@ class Searcher:
             near = np.flatnonzero((np.sqrt(np.einsum("ij,ij->i", v, v)) * self.longest >= self.limit * size) & (size > 0))
             for some in np.array_split(near, max(1, len(near) * len(self.items) // 4_000_000)):
                 cosines = (v[some] / size[some, None]).astype(np.float32) @ self.queries.T
-                for a, q in zip(*np.nonzero(cosines >= self.limit)):
-                    i = some[a]
-                    at, words = int(place[i] - first[i]) * BLOCK, int(over[i] - place[i]) * BLOCK
-                    yield int(owner[i]), at, words, int(q), min(1.0, float(cosines[a, q]))
+                a, q = np.nonzero(cosines >= self.limit)
+                i = some[a]
+                yield owner[i], place[i] - first[i], over[i] - place[i], q, np.minimum(cosines[a, q], 1.0)
+
+    def stretches(self, batch: list[list[bytes]]) -> Iterator[tuple[int, int, list[tuple[int, int, float]]]]:
+        """(text, item place, [(first block, blocks, cosine)]): windows of one item that touch each other, together."""
+        found = list(self.windows(batch))
+        if not found:
+            return
+        text, start, size, q, cosine = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((start, q, text))
+        key, stop, held = None, 0, []
+        for t, x, n, i, c in zip(*(v[order].tolist() for v in (text, start, size, q, cosine))):
+            if key != (t, i) or x > stop:
+                if held:
+                    yield *key, held
+                key, stop, held = (t, i), 0, []
+            held.append((x, n, c))
+            stop = max(stop, x + n)
+        if held:
+            yield *key, held
 
     def hits(self, batch: list[list[bytes]]) -> list[dict[int, tuple[float, float, float, int]]]:
         """Per text: item id -> (cosine, part of the item's words in order, part of its ending, first word)."""
         out: list[dict] = [{} for _ in batch]
-        for k, at, size, q, cosine in self.windows(batch):
+        for k, q, near in self.stretches(batch):
             item, words = self.items[q]
-            n = len(words)
-            region = batch[k][max(0, at - n // 2 - BLOCK // 2) : at + size + n // 2 + BLOCK // 2]
-            # No subsequence can be longer than the item's words that are there at all.
-            bag = self.bags[q]
-            if sum(bag[w] for w in self.sets[q].intersection(region)) < self.likely * n:
-                continue
-            part = common_length(self.masks[q], n, region) / n
-            if part < self.likely:
+            n, bag, own, text = len(words), self.bags[q], self.sets[q], batch[k]
+
+            def region(at, blocks):
+                return text[max(0, at * BLOCK - n // 2 - BLOCK // 2) : (at + blocks) * BLOCK + n // 2 + BLOCK // 2]
+
+            def enough(part):
+                """No subsequence can be longer than the item's words that are there at all."""
+                return sum([bag[w] for w in own.intersection(part)]) >= self.likely * n
+
+            if not enough(region(near[0][0], max(x + b for x, b, _ in near) - near[0][0])):
                 continue
-            tail = common_length(self.tail_masks[q], len(self.tails[q]), region) / len(self.tails[q])
-            if part >= self.sure or tail >= self.answer:
-                hit = (cosine, part, tail, at)
-                if item not in out[k] or better(hit, out[k][item]):
-                    out[k][item] = hit
+            for at, blocks, cosine in near:
+                part_of = region(at, blocks)
+                if not enough(part_of):
+                    continue
+                part = common_length(self.masks[q], n, part_of) / n
+                if part < self.likely:
+                    continue
+                tail = common_length(self.tail_masks[q], len(self.tails[q]), part_of) / len(self.tails[q])
+                if part >= self.sure or tail >= self.answer:
+                    hit = (cosine, part, tail, at * BLOCK)
+                    if item not in out[k] or better(hit, out[k][item]):
+                        out[k][item] = hit
         return out
 
 
