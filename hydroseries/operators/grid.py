@@ -10,11 +10,22 @@ from pyspark.sql import functions as F
 from hydroseries.functions import timeparts as tp
 
 
+#: Steps that one row is expanded into; about a year of hours.
+STRETCH = 8192
+
+
 def complete_grid(df: DataFrame, keys: Sequence[str], ts: str, step: str = "interval 1 hour") -> DataFrame:
-    """Every step between first and last time of each key; absent steps are rows of NULLs."""
+    """Every step between first and last time of each key; absent steps are rows of NULLs.
+
+    Steps are made in two levels: first the starts of stretches of ``STRETCH`` steps, which are dealt out, then the steps of each
+    stretch. So a key with any number of steps is the work of many tasks, and no row holds more than a stretch of them.
+    """
     keys = list(keys)
     span = df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    grid = span.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr(step))).alias(ts))
+    one, many = F.expr(step), F.expr(f"{step} * {STRETCH}")
+    starts = span.select(*keys, "_hi", F.explode(F.sequence("_lo", "_hi", many)).alias("_at")).repartition(*keys, "_at")
+    last = F.least(F.col("_hi"), F.col("_at") + F.expr(f"{step} * {STRETCH - 1}"))
+    grid = starts.select(*keys, F.explode(F.sequence(F.col("_at"), last, one)).alias(ts))
     return grid.join(df, [*keys, ts], "left").select(*df.columns)
 
 

@@ -24,6 +24,18 @@ def a03_coverage(spark, sf_dir):
     return report.coverage(q02_resample_hourly(spark, sf_dir), ["k"], "ts", "pct_flagged")
 
 
+@query("q08_quality_report", f"""WITH h AS ({HOURLY_FLAGS}),
+    a AS (SELECT k, ts, mean, count(mean) OVER (PARTITION BY k ORDER BY ts) AS isle FROM h),
+    b AS (SELECT k, min(ts) AS gap_from, max(ts) AS gap_to, count(*) AS gap_rows FROM a WHERE mean IS NULL GROUP BY k, isle),
+    c AS (SELECT k, arg_max(gap_from, ROW(gap_rows, -epoch_us(gap_from))) AS gap_from, arg_max(gap_to, ROW(gap_rows, -epoch_us(gap_from))) AS gap_to,
+                 max(gap_rows) AS gap_rows, count(*) AS n_gaps FROM b GROUP BY k),
+    d AS (SELECT k, min(ts) AS start, max(ts) AS "end", count(*) AS n_rows, count(*) - count(mean) AS n_missing, count(*) FILTER (qc_flag = 0) AS n_flag_0,
+                 count(*) FILTER (qc_flag = 8) AS n_flag_8, count(*) FILTER (qc_flag = 9) AS n_flag_9 FROM h GROUP BY k)
+    SELECT d.*, round(n_missing / n_rows, 6) AS missing_rate, coalesce(n_gaps, 0) AS n_gaps, gap_from, gap_to, coalesce(gap_rows, 0) AS gap_rows FROM d LEFT JOIN c USING (k)""")
+def q08_quality_report(spark, sf_dir):
+    return rounded(report.quality_report(q02_resample_hourly(spark, sf_dir), ["k"], "ts", "mean", "qc_flag", (0, 8, 9)), "missing_rate")
+
+
 @query("a01_hourly_aggregate", "SELECT user_id, date_trunc('hour', ts) AS ts, round(avg(value), 6) AS mean, max(value) AS max,"
        " count(value) AS n FROM events GROUP BY 1, 2")
 def a01_hourly_aggregate(spark, sf_dir):

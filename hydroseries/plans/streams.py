@@ -48,7 +48,7 @@ def st05_ingest_stream(spark, sf_dir):
         F.col("event_type").alias("series_id"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"),
         (F.floor(F.col("value") / 10) * 10).cast("double").alias("value"),
     )
-    st.ingest_stream(s, f"{out}/points", f"{out}/hourly", f"{out}/state").awaitTermination()
+    st.ingest_stream(s, f"{out}/points", f"{out}/hourly", f"{out}/state", order="value").awaitTermination()
     back = spark.read.parquet(f"{out}/hourly")
     return rounded(back.select(F.col("series_id").cast("string").alias("series_id"), "ts", "mean", "max", "n_obs", "pct_flagged", "qc_flag"), "mean")
 

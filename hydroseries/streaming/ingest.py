@@ -15,7 +15,11 @@ from hydroseries.sources.ingest import ingest
 
 
 def raw_file_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> Gauge:
-    """New raw files of ``{path}/{series}/``; each is read once, the checkpoint remembers which."""
+    """New raw files of ``{path}/{series}/``; each is read once, the checkpoint remembers which.
+
+    Points carry ``_from``, the start of their file (from its name) and their place in it: the order by which the batch load
+    chooses among several values of one time.
+    """
     raw = (
         spark.readStream.format("text")
         .option("wholetext", True)
@@ -23,10 +27,14 @@ def raw_file_stream(spark: SparkSession, path: str, files_per_batch: int = 1000)
         .option("recursiveFileLookup", True)
         .load(path)
         .select(
-            F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("series_id"), F.col("value").alias("raw")
+            F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("series_id"),
+            F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})_[^/]*$", 1).try_cast("date").alias("chunk_start"),
+            F.col("value").alias("raw"),
         )
     )
-    return parse_gauge_text(raw, ["series_id"])
+    parsed = parse_gauge_text(raw, ["series_id", "chunk_start"], place="place")
+    points = parsed.points.withColumn("_from", F.struct("chunk_start", "place")).drop("chunk_start", "place")
+    return Gauge(points, parsed.limits.drop("chunk_start"), parsed.rejects.drop("chunk_start"))
 
 
 def watermarked(stream: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -56,17 +64,24 @@ def silences(stream: DataFrame, keys: list[str], ts: str, gap: str = "70 minutes
     return out.select(*keys, F.col("_s.start").alias("first_heard"), "last_heard", "n_rows")
 
 
-def ingest_stream(points: DataFrame, points_path: str, hourly_path: str, checkpoint: str, key: str = "series_id") -> StreamingQuery:
-    """Merge each micro-batch into the stored tables; a repeated batch changes nothing, stored rows win."""
+def ingest_stream(
+    points: DataFrame, points_path: str, hourly_path: str, checkpoint: str, key: str = "series_id", order: str = "_from",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Merge each micro-batch into the stored tables; a repeated batch changes nothing, stored rows win.
+
+    Of several new values of one time in a batch the first by ``order`` stays, as in the batch load: for points of
+    ``raw_file_stream`` that is the order of files and of places in them. ``trigger`` are the arguments of Spark's ``trigger``, by default
+    all that is there now, then the end; ``{"processingTime": "5 minutes"}`` goes on.
+    """
 
     def load(batch: DataFrame, _: int) -> None:
         batch = batch.persist()
         try:
             if not batch.isEmpty():
-                ingest(batch.sparkSession, batch, points_path, hourly_path, key)
+                ingest(batch.sparkSession, batch, points_path, hourly_path, key, order)
         finally:
             batch.unpersist()
 
-    return (
-        points.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    writer = points.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()

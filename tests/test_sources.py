@@ -13,6 +13,7 @@ from hydroseries.session import cut_lineage, shared_folder
 from hydroseries.sources import documents, files, gauge_text, ingest, rain_grid
 from hydroseries.streaming import ingest as stream
 
+# Readings and limits in the format of the gauges.
 POINTS = ";".join(f"2026-09-06 0{i // 6}.{i % 6}0.00,{v}" for i, v in enumerate([491, 496, 488, 492, 493, 494, 491, 491, 491, 491]))
 RAW = POINTS + ";|9500;8500;7500|\n\n<html>\n</html>\n"
 
@@ -170,3 +171,21 @@ def test_only_touched_partitions_are_read_and_nothing_stays_cached(spark, tmp_pa
     assert read.count() == 30
     plan = read._jdf.queryExecution().toString()
     assert "year" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0] and "2023" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+
+
+def test_stream_keeps_the_first_value_in_file_order(spark, tmp_path):
+    """Of several values of one time the first in the order of files and places stays, as in the batch load."""
+    raw = tmp_path / "raw" / "0140"
+    raw.mkdir(parents=True)
+    (raw / "2024-01-02_2024-01-02.txt").write_text("2024-01-01 00.10.00,3;2024-01-01 00.20.00,1;|1;2;3|")
+    (raw / "2024-01-01_2024-01-01.txt").write_text("2024-01-01 00.10.00,9;2024-01-01 00.10.00,2;2024-01-01 00.20.00,8;|1;2;3|")
+    made = []
+    for name in ("batch", "stream"):
+        p, h, state = (str(tmp_path / name / x) for x in ("points", "hourly", "state"))
+        if name == "batch":
+            ingest.ingest_incremental(spark, f"{tmp_path}/raw/*/*.txt", p, h)
+        else:
+            points = stream.raw_file_stream(spark, str(tmp_path / "raw")).points
+            stream.ingest_stream(points, p, h, state, trigger={"once": True}).awaitTermination()
+        made.append(sorted((r.series_id, r.ts, r.value) for r in ingest.stored(spark, p).collect()))
+    assert made[0] == made[1] and [v for _, _, v in made[0]] == [9.0, 8.0]
