@@ -46,7 +46,7 @@ def count_words(rows: DataFrame) -> DataFrame:
     return map_batches(rows, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _chunks(rows, most: int = 1 << 18):
+def _chunks(rows, most: int = 1 << 20):
     """Rows (key, symbols, ...) in runs of about ``most`` symbols."""
     part, held = [], 0
     for row in rows:
@@ -199,6 +199,18 @@ def train(coded: DataFrame, words: list[bytes], share: np.ndarray, rounds: int =
     return start, move, emit
 
 
+def _commonest(counts: DataFrame, most: int):
+    """Words and counts above a limit, commonest first: the lowest limit that leaves no more than ``most`` words.
+
+    The limit comes from the number of words of each count, so only what stays is collected. Each count that can matter has a
+    word, so ``most`` of the counts are enough.
+    """
+    sizes = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most + 1).toPandas()
+    fits = sizes["words"].cumsum() <= most
+    limit = int(sizes["n"][fits].min()) if fits.any() else 1 << 62
+    return counts.where(F.col("n") >= limit).toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")
+
+
 def score_texts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary: int = 262_144, symbols: int = 16_384,
     rounds: int = 4,
@@ -209,15 +221,20 @@ def score_texts(
     add-one unigram score; ``score`` the log10 probability by the model. A null text is the end token alone. Without training
     texts every count is 0 and both scores are those of unknown words alone. Repeated rows are scored, and learned from, each.
 
-    ``dictionary`` (words kept in tasks) and ``symbols`` bound memory only: words beyond the dictionary are looked up by a join.
+    ``symbols`` is part of the model: so many of the commonest words have weights of their own in every state, all others share those of
+    their class (by their last two bytes). It changes ``score``; 65,280 is the most. ``dictionary`` bounds memory only, as words beyond it
+    are looked up by a join: it holds the words that occur oftener than a limit, the lowest that leaves no more than that
+    (so ``symbols`` can be no more either).
     """
+    if symbols + CLASSES > 1 << 16:
+        raise ValueError(f"symbols and the {CLASSES} classes must fit into 16 bits")
     rows = texts(docs, id_col, text_col).withColumn("held_out", is_held_out(7))
     counts = cut_lineage(count_words(rows.where(~F.col("held_out"))))
     total = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")
     ).first()
     n, v = total["n"], total["v"]
-    top = counts.orderBy(F.desc("n"), "word").limit(dictionary).toPandas()
+    top = _commonest(counts, dictionary)
     words = [bytes(w) for w in top["word"]]
     number = top["n"].tolist()
     symbols = min(symbols, len(words))

@@ -148,15 +148,15 @@ def train_scorer(
 ) -> np.ndarray:
     """Weights of the linear scorer, from posteriors as soft labels.
 
-    Fitted on a sample of about ``most`` documents, chosen by a hash of the id (all documents, if there are no more).
+    Fitted on a sample of about ``most`` documents, chosen by a hash of id and text (all documents, if there are no more).
     Each round sums the gradient over the sample in Spark; 2^bits numbers come back.
     """
     spark = rows.sparkSession
     if not rows_in_all:
         return np.zeros(1 << bits)
-    # Of 2^20 hash values so many are in the sample; equal ids fall in or out together.
+    # Of 2^20 hash values so many are in the sample; equal rows fall in or out together.
     limit = min(1 << 20, int(most / rows_in_all * (1 << 20)) + 1)
-    sample = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) < limit)
+    sample = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(1 << 20)) < limit)
     label = spark.sparkContext.broadcast(posterior)
 
     def features(batches):
