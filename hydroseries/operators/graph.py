@@ -148,34 +148,69 @@ def contract(edges: DataFrame, terminals: DataFrame) -> DataFrame:
         e = cut_lineage(e)
 
 
-def path_lengths(edges: DataFrame, terminals: DataFrame, shrink: bool = True) -> DataFrame:
-    """Shortest path length between every pair of connected terminals: node_a < node_b, length_m.
+def hierarchy(edges: DataFrame) -> DataFrame:
+    """n, o, d: for every node the links to nodes taken out after it, with shortcuts over all taken out before.
 
-    Labels (terminal, node, distance) grow from all terminals at once; only labels that
-    got shorter are followed in the next round. Terminals are few by nature (stations).
+    In each round all nodes that have fewer links than their neighbours (a hash decides ties) are taken out at once and their
+    neighbours linked past them. Every shortest path then has a highest node which both its ends reach by such links alone.
+    ``edges``: u, v, d, one row per pair.
     """
-    short = contract(edges, terminals) if shrink else cut_lineage(_shortest_edges(edges))
-    links = cut_lineage(
-        short.select(F.col("u").alias("node"), F.col("v").alias("to"), F.col("d").alias("step")).union(short.select("v", "u", "d"))
-    )
-    known = cut_lineage(
-        terminals.select(F.col("node").alias("source"), "node").distinct().withColumn("d", F.lit(0.0).cast("double"))
-    )
+    e, turn, taken_links = cut_lineage(edges.select("u", "v", "d")), 0, None
+    while True:
+        turn += 1
+        both = e.select(F.col("u").alias("n"), F.col("v").alias("o"), "d").union(e.select("v", "u", "d"))
+        rank = both.groupBy("n").agg(F.count("*").alias("deg")).withColumn("r", F.struct("deg", F.xxhash64("n", F.lit(turn)), "n"))
+        beside = both.select("n", "o").join(rank.select(F.col("n").alias("o"), F.col("r").alias("other")), "o")
+        lowest = beside.groupBy("n").agg(F.min("other").alias("other"))
+        taken = cut_lineage(rank.join(lowest, "n").where(F.col("r") < F.col("other")).select("n"))
+        if taken.isEmpty():
+            return both if taken_links is None else taken_links
+        up = cut_lineage(both.join(taken, "n").select("n", "o", "d"))
+        taken_links = up if taken_links is None else cut_lineage(taken_links.union(up)) if turn % 8 == 0 else taken_links.union(up)
+        rest = e.join(taken.select(F.col("n").alias("u")), "u", "left_anti").join(taken.select(F.col("n").alias("v")), "v", "left_anti")
+        # A node with fewer links than its neighbours has few: the pairs past it are few as well.
+        past = up.select("n", F.col("o").alias("u"), F.col("d").alias("d1")).join(up.select("n", F.col("o").alias("v"), F.col("d").alias("d2")), "n")
+        past = past.where(F.col("u") < F.col("v")).select("u", "v", (F.col("d1") + F.col("d2")).alias("d"))
+        e = cut_lineage(rest.select("u", "v", "d").union(past).groupBy("u", "v").agg(F.min("d").alias("d")))
+
+
+def hub_labels(links: DataFrame, terminals: DataFrame, limit: float | None = None) -> DataFrame:
+    """source, hub, d: what each terminal reaches by links to nodes taken out later (``hierarchy``), itself included."""
+    links = cut_lineage(links)
+    known = cut_lineage(terminals.select(F.col("node").alias("source"), F.col("node").alias("hub")).distinct().withColumn("d", F.lit(0.0).cast("double")))
     front = known
     while True:
-        reach = (
-            front.join(links, "node")
-            .groupBy("source", F.col("to").alias("node"))
-            .agg(F.min(F.col("d") + F.col("step")).alias("d"))
-        )
+        reach = front.join(links, F.col("hub") == F.col("n")).groupBy("source", F.col("o").alias("hub")).agg(F.min(front["d"] + links["d"]).alias("d"))
+        if limit is not None:
+            reach = reach.where(F.col("d") <= limit)
         old = known.withColumnRenamed("d", "_old")
-        front = reach.join(old, ["source", "node"], "left").where(F.col("_old").isNull() | (F.col("d") < F.col("_old")))
-        front = cut_lineage(front.select("source", "node", "d"))
+        front = reach.join(old, ["source", "hub"], "left").where(F.col("_old").isNull() | (F.col("d") < F.col("_old")))
+        front = cut_lineage(front.select("source", "hub", "d"))
         if front.isEmpty():
-            break
-        known = cut_lineage(known.union(front).groupBy("source", "node").agg(F.min("d").alias("d")))
-    ends = known.where(F.col("source") < F.col("node")).join(terminals.select("node").distinct(), "node", "left_semi")
-    return ends.select(F.col("source").alias("node_a"), F.col("node").alias("node_b"), F.col("d").alias("length_m"))
+            return known
+        known = cut_lineage(known.union(front).groupBy("source", "hub").agg(F.min("d").alias("d")))
+
+
+def path_lengths(
+    edges: DataFrame, terminals: DataFrame, shrink: bool = True, pairs: DataFrame | None = None, limit: float | None = None
+) -> DataFrame:
+    """Shortest path length between connected terminals: node_a < node_b, length_m.
+
+    Distances are a join of two sets of labels: a terminal's labels are the nodes above it in a hierarchy of the graph, and every shortest
+    path has its highest node in the labels of both ends. No terminal keeps a distance to all other nodes.
+    ``pairs`` (node_a, node_b) asks for some pairs of terminals only, ``limit`` for lengths up to it.
+    """
+    short = contract(edges, terminals) if shrink else cut_lineage(_shortest_edges(edges))
+    labels = hub_labels(hierarchy(short), terminals, limit)
+    a = labels.select(F.col("source").alias("node_a"), "hub", F.col("d").alias("_a"))
+    b = labels.select(F.col("source").alias("node_b"), "hub", F.col("d").alias("_b"))
+    if pairs is not None:
+        low, high = F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b")
+        met = pairs.select(low, high).distinct().join(a, "node_a").join(b, ["node_b", "hub"])
+    else:
+        met = a.join(b, "hub")
+    out = met.where(F.col("node_a") < F.col("node_b")).groupBy("node_a", "node_b").agg(F.min(F.col("_a") + F.col("_b")).alias("length_m"))
+    return out if limit is None else out.where(F.col("length_m") <= limit)
 
 
 def station_distances(snapped: DataFrame, edges: DataFrame, key: str = "station_id") -> DataFrame:
