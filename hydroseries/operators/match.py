@@ -50,9 +50,48 @@ def similar_pairs(left: DataFrame, right: DataFrame, share: float, longest: floa
     return pairs.select("a", "b").distinct()
 
 
+def _rare_grams(names: DataFrame, name: str, seen: DataFrame, cutoff: float) -> DataFrame:
+    """name, gram, pos: the rarest pairs of letters of each name, as many as a similar name must meet one of.
+
+    A name of n letters, framed, has n + 1 pairs of letters. Each edit spoils two of them, so names of similarity
+    ``cutoff`` or more have (2 cutoff - 1) n + 1 in common; one of those is among the others, plus one, that come first.
+    """
+    grams = _grams(names, name).join(seen, "gram")
+    row = F.array_sort(F.collect_list(F.struct("_seen", "gram", "pos")))
+    common = F.ceil((2 * cutoff - 1) * F.length(name) + 1 - 1e-9)
+    kept = F.slice("_g", F.lit(1), (F.length(name) + 2 - common).cast("int"))
+    return grams.groupBy(name).agg(row.alias("_g")).select(name, F.inline(kept)).drop("_seen")
+
+
+def _grams(names: DataFrame, name: str) -> DataFrame:
+    framed = F.concat(F.lit("^"), F.col(name), F.lit("$"))
+    at = F.sequence(F.lit(1), F.length(name) + 1)
+    return names.select(name, F.inline(F.transform(at, lambda i: F.struct(F.substr(framed, i, F.lit(2)).alias("gram"), i.alias("pos")))))
+
+
+def edit_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs of distinct names (a, b) that may reach the cutoff of the edit similarity; none that does is missed.
+
+    An inverted index of rare pairs of letters, in the order of the number of places they have: pairs of letters that an
+    alignment of two names leaves alone come in the same order in both and lie no farther apart than there are edits, so the
+    rarest of them is among the indexed ones of both names. For cutoffs below a half letters are indexed, see ``similar_pairs``.
+    """
+    if cutoff < 0.5:
+        return similar_pairs(left, right, cutoff, 1 / cutoff)
+    lone = {n: df.select(n).where(F.length(n) > 0).distinct() for n, df in (("a", left), ("b", right))}
+    every = _grams(lone["a"], "a").select("gram").unionByName(_grams(lone["b"], "b").select("gram"))
+    seen = every.groupBy("gram").agg(F.count("*").alias("_seen"))
+    a = _rare_grams(lone["a"], "a", seen, cutoff)
+    b = _rare_grams(lone["b"], "b", seen, cutoff).withColumnRenamed("pos", "_pos")
+    shorter, longer = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
+    edits = F.floor((1 - cutoff) * longer + 1e-9)
+    near = (longer - shorter <= edits) & (F.abs(F.col("pos") - F.col("_pos")) <= edits)
+    return a.join(b, "gram").where(near).select("a", "b").distinct()
+
+
 def edit_matches(left: DataFrame, right: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """Best partner (b) of each name (a) by 1 - distance / longer length, if it reaches the cutoff."""
-    pairs = similar_pairs(left, right, cutoff, 1 / cutoff)
+    """Best partner (b) of each name (a) by 1 - distance / longer length, if it reaches the cutoff; the first in the alphabet on ties."""
+    pairs = edit_pairs(left, right, cutoff)
     scored = pairs.withColumn("score", edit_similarity(F.col("a"), F.col("b"))).where(F.col("score") >= cutoff)
     best = scored.groupBy("a").agg(F.min_by(F.struct("b", "score"), F.struct(-F.col("score"), F.col("b"))).alias("_m"))
     return best.select("a", "_m.b", "_m.score")
@@ -77,9 +116,12 @@ def sequence_matches(left: DataFrame, right: DataFrame, cutoff: float = CUTOFF)
     return same.unionByName(best.withColumn("score", sequence_ratio(F.col("a"), F.col("b"))))
 
 
+MEASURES = {"ratio": sequence_matches, "edit": edit_matches}
+
+
 def station_match(
     stations: DataFrame, candidates: DataFrame, box: tuple[float, float, float, float],
-    source_order: list[str], alias: Mapping[int, int] | None = None, cutoff: float = CUTOFF,
+    source_order: list[str], alias: Mapping[int, int] | None = None, cutoff: float = CUTOFF, measure: str = "ratio",
 ) -> DataFrame:
     """Coordinates for stations from the best named place of several sources.
 
@@ -87,6 +129,7 @@ def station_match(
     ``pos``, the order in the source. Per source the first place of a cleaned name counts;
     the best score over the sources wins, the earlier source on ties. Below the cutoff or
     outside the box there is no match. ``alias`` lets a station share the result of another.
+    ``measure``: ``ratio`` (see ``sequence_matches``) or ``edit`` (``edit_matches``, column expressions only).
     """
     c = candidates.select(
         "source", "pos", F.col("name").alias("match"), clean_name(F.col("name")).alias("b"),
@@ -100,7 +143,7 @@ def station_match(
     best = None
     for source in source_order:
         part = c.where(F.col("source") == source)
-        hit = sequence_matches(s, part, cutoff).join(part, "b")
+        hit = MEASURES[measure](s, part, cutoff).join(part, "b")
         best = hit if best is None else best.unionByName(hit)
     row = F.struct("match", "score", "lat", "lon", "source")
     best = best.groupBy("a").agg(F.min_by(row, F.struct(-F.col("score"), order)).alias("_m"))

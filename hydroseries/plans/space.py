@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hydroseries.functions import geo
+from hydroseries.functions.text import NAME_REMARKS, NAME_WORDS
 from hydroseries.operators import crosstab, graph, match, spatial
 from hydroseries.plans.forecast import EVENT_SQL, level3
 from hydroseries.plans.registry import SQL, event_windows, forecasts, query, rounded, table
@@ -344,9 +345,7 @@ def j14_edit_matches(spark, sf_dir):
     return rounded(match.edit_matches(a, b), "score")
 
 
-@query("q21_station_match")
-def q21_station_match(spark, sf_dir):
-    """Part names against type-and-noun names with coordinates; the exact ratio is not expressible in SQL."""
+def _matched(spark, sf_dir, measure):
     p = table(spark, sf_dir, "part")
     st = p.groupBy("p_name").agg(F.min("p_partkey").cast("int").alias("station_id")).withColumnRenamed("p_name", "name")
     noun = F.regexp_extract("p_name", r"(\S+)$", 1)
@@ -355,8 +354,35 @@ def q21_station_match(spark, sf_dir):
         F.concat_ws(" ", F.col("p_type"), noun).alias("name"),
         (F.lit(-6.4) + F.col("p_size") * 0.01).cast("string").alias("lat"), F.lit("106.8").alias("lon"),
     )
-    out = match.station_match(st, cand, (-6.35, -5.95, 106.6, 107.05), ["gates", "pumps"])
-    return rounded(out, "score")
+    return match.station_match(st, cand, (-6.35, -5.95, 106.6, 107.05), ["gates", "pumps"], measure=measure)
+
+
+@query("q21_station_match")
+def q21_station_match(spark, sf_dir):
+    """Part names against type-and-noun names with coordinates; the exact ratio is not expressible in SQL."""
+    return rounded(_matched(spark, sf_dir, "ratio"), "score")
+
+
+def _clean_sql(name):
+    for word in NAME_REMARKS + NAME_WORDS:
+        name = f"replace({name}, '{word}', '')" if name.startswith("replace") else f"replace(lower({name}), '{word}', '')"
+    name = f"regexp_replace(regexp_replace({name}, '\\d+', '', 'g'), '[^a-z\\s]', ' ', 'g')"
+    return f"trim(regexp_replace({name}, '\\s+', ' ', 'g'))"
+
+
+@query("q21_station_match_edit", f"""WITH st AS (SELECT p_name AS name, min(p_partkey)::INTEGER AS station_id, {_clean_sql("p_name")} AS a FROM part GROUP BY p_name),
+    pl AS (SELECT CASE WHEN p_size < 25 THEN 1 ELSE 2 END AS src, p_partkey AS pos, p_type || ' ' || regexp_extract(p_name, '(\S+)$', 1) AS name,
+      -6.4::DOUBLE + p_size * 0.01::DOUBLE AS lat FROM part),
+    c AS (SELECT src, {_clean_sql("name")} AS b, arg_min(name, pos) AS match, arg_min(lat, pos) AS lat FROM pl GROUP BY 1, 2),
+    s AS (SELECT a, src, b, match, lat, 1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE AS score
+      FROM (SELECT DISTINCT a FROM st WHERE a <> '') x, c WHERE b <> ''),
+    m AS (SELECT a, arg_min(struct_pack(match, lat, src, score), ROW(-score, src, b)) AS m FROM s WHERE score >= 0.6 GROUP BY 1),
+    o AS (SELECT station_id, name, m, coalesce(m.lat BETWEEN -6.35 AND -5.95, false) AS ok FROM st LEFT JOIN m USING (a))
+    SELECT station_id, name, CASE WHEN ok THEN m.match END AS match, round(CASE WHEN ok THEN m.lat END, 6) AS lat, CASE WHEN ok THEN 106.8::DOUBLE END AS lon,
+    CASE WHEN ok THEN CASE m.src WHEN 1 THEN 'gates' ELSE 'pumps' END END AS source, CASE WHEN ok THEN round(m.score, 6) ELSE 0.0 END::DOUBLE AS score FROM o""")
+def q21_station_match_edit(spark, sf_dir):
+    """The same stations and places by edit similarity."""
+    return rounded(_matched(spark, sf_dir, "edit"), "score", "lat")
 
 
 # A river tree out of the tables: region <- nation <- customer <- order, with lengths from the data.
