@@ -337,7 +337,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``docs`` of which exactly one per class stays, that of the smallest id, a null id last; texts without words all stay.
 
     A row goes by its id and its words together, so another text of the same id stays. Where that id has several texts in the
-    class, one of them stays; of repeated rows the smallest by all columns.
+    class, one of them stays; of repeated rows the smallest by all columns written as JSON (further columns may be maps).
     """
     labelled = _labelled(docs, id_col, text_col).where(F.col("node").isNotNull())
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))
@@ -351,5 +351,5 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     again = marks.where("_stays")
     if again.isEmpty():
         return keyed.join(marks, same, "left_anti").select("_row.*")
-    once = keyed.join(again, same, "left_semi").groupBy("doc_id", "node").agg(F.min("_row").alias("_row"))
+    once = keyed.join(again, same, "left_semi").groupBy("doc_id", "node").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
     return keyed.join(marks, same, "left_anti").select("_row.*").unionByName(once.select("_row.*"))
