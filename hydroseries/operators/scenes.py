@@ -19,11 +19,12 @@ def _by_day(df: DataFrame, first, last) -> DataFrame:
     return df.withColumn("_day", F.explode(F.sequence(first.cast("date"), last.cast("date"))))
 
 
-def event_scenes(scenes: DataFrame, peaks: DataFrame) -> DataFrame:
+def event_scenes(scenes: DataFrame, peaks: DataFrame, keep: int | None = None) -> DataFrame:
     """Scenes around each peak by time gap: rank 1 is chosen, the rest are alternatives.
 
     Scenes of +/- 4 days if there are any, else of +/- 6 days (``wide``). Whole days count,
     one more at the end. ``scenes``: scene_id, acquired, orbit; ``peaks``: event, peak.
+    ``keep``: only the closest so many per event, chosen in every task before they meet; all by default.
     """
     peak = F.col("peak")
     days = lambda n: F.make_interval(days=F.lit(n))
@@ -34,8 +35,12 @@ def event_scenes(scenes: DataFrame, peaks: DataFrame) -> DataFrame:
     hits = hits.withColumn("gap_hours", F.abs(tp.hours_between(F.col("acquired"), peak)))
     kind = hits.groupBy("event").agg(F.min("wide").alias("wide"))
     hits = hits.join(kind, ["event", "wide"])
-    # At most a dozen days of scenes per event.
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("event").orderBy("gap_hours", "scene_id")))
+    order = [F.col("gap_hours"), F.col("scene_id")]
+    if keep is None:
+        # At most a dozen days of scenes per event.
+        ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("event").orderBy(*order)))
+    else:
+        ranked = top_per_key(hits, ["event"], order, keep)
     return ranked.select("event", "scene_id", "acquired", "orbit", "wide", "gap_hours", "rank")
 
 

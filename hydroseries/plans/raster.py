@@ -261,15 +261,24 @@ def scene_table(spark, sf_dir):
     )
 
 
-@query("r13_event_scenes", f"""WITH {PEAK_SQL}, h AS (SELECT event, event_id AS scene_id, ts AS acquired, CASE WHEN value > 30 THEN 'asc' ELSE 'desc' END AS orbit,
+SCENES_SQL = f"""WITH {PEAK_SQL}, h AS (SELECT event, event_id AS scene_id, ts AS acquired, CASE WHEN value > 30 THEN 'asc' ELSE 'desc' END AS orbit,
       abs(date_diff('microsecond', peak, ts)) / 3600e6 AS gap, NOT ts::DATE BETWEEN (peak - INTERVAL 4 DAY)::DATE AND (peak + INTERVAL 5 DAY)::DATE AS wide
       FROM events JOIN pk ON ts::DATE BETWEEN (peak - INTERVAL 6 DAY)::DATE AND (peak + INTERVAL 7 DAY)::DATE WHERE event_type = 'purchase'),
     b AS (SELECT *, min(wide::INTEGER) OVER (PARTITION BY event) AS w FROM h)
-    SELECT event, scene_id, acquired, orbit, wide, round(gap, 6) AS gap_hours, row_number() OVER (PARTITION BY event ORDER BY gap, scene_id)::INTEGER AS rank FROM b WHERE wide::INTEGER = w""")
+    SELECT event, scene_id, acquired, orbit, wide, round(gap, 6) AS gap_hours, row_number() OVER (PARTITION BY event ORDER BY gap, scene_id)::INTEGER AS rank FROM b WHERE wide::INTEGER = w"""
+
+
+@query("r13_event_scenes", SCENES_SQL)
 def r13_w13_event_scenes(spark, sf_dir):
     return rounded(sc.event_scenes(scene_table(spark, sf_dir), peaks(spark)), "gap_hours")
 
 
+@query("r13_closest_scenes", f"SELECT * FROM ({SCENES_SQL}) WHERE rank <= 3")
+def r13_closest_scenes(spark, sf_dir):
+    """The chosen scene of each event and two alternatives."""
+    return rounded(sc.event_scenes(scene_table(spark, sf_dir), peaks(spark), keep=3), "gap_hours")
+
+
 RAIN_H = "rn AS (SELECT date_trunc('hour', ts) AS ts, round(avg(value), 9) AS rain_mm FROM events WHERE event_type = 'view' GROUP BY 1)"
 
 

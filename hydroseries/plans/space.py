@@ -371,7 +371,7 @@ def _clean_sql(name):
 
 
 @query("q21_station_match_edit", f"""WITH st AS (SELECT p_name AS name, min(p_partkey)::INTEGER AS station_id, {_clean_sql("p_name")} AS a FROM part GROUP BY p_name),
-    pl AS (SELECT CASE WHEN p_size < 25 THEN 1 ELSE 2 END AS src, p_partkey AS pos, p_type || ' ' || regexp_extract(p_name, '(\S+)$', 1) AS name,
+    pl AS (SELECT CASE WHEN p_size < 25 THEN 1 ELSE 2 END AS src, p_partkey AS pos, p_type || ' ' || regexp_extract(p_name, '(\\S+)$', 1) AS name,
       -6.4::DOUBLE + p_size * 0.01::DOUBLE AS lat FROM part),
     c AS (SELECT src, {_clean_sql("name")} AS b, arg_min(name, pos) AS match, arg_min(lat, pos) AS lat FROM pl GROUP BY 1, 2),
     s AS (SELECT a, src, b, match, lat, 1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE AS score
