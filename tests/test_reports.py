@@ -59,3 +59,10 @@ def test_grid_of_a_long_key_is_dealt_over_tasks(spark):
     counts = {r.k: (r.n, r.v, r.d) for r in out.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("v"), F.countDistinct("ts").alias("d")).collect()}
     assert counts == {"a": (2_000_000, 2, 2_000_000), "b": (6, 2, 6), "c": (1, 1, 1)}
     assert "hashpartitioning(k" in out._jdf.queryExecution().toString() and "_at" in out._jdf.queryExecution().toString().split("hashpartitioning(k", 1)[1]
+
+
+def test_grid_asked_for_values_only_is_not_broadcast(spark):
+    df = spark.createDataFrame([(k, START + dt.timedelta(hours=h), 1.0 * h) for k in "ab" for h in (0, 3, 9)], "k string, ts timestamp_ntz, v double")
+    out = complete_grid(df, ["k"], "ts").where(F.col("v").isNotNull())
+    assert sorted((r.k, r.ts, r.v) for r in out.collect()) == sorted((r.k, r.ts, r.v) for r in df.collect())
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
