@@ -225,8 +225,8 @@ def s13_write_series(spark, sf_dir):
     """Write all series, then replace the partitions of some of them only."""
     out = folder(spark)
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("series_id"), "ts", "value")
-    files.write_series(e, out, ["series_id"], "ts")
-    files.write_series(e.where(F.col("series_id").cast("long") % 2 == 0).withColumn("value", F.col("value") * 2), out, ["series_id"], "ts")
+    files.write_series(e, out, ["series_id"], "ts", shelves=64)
+    files.write_series(e.where(F.col("series_id").cast("long") % 2 == 0).withColumn("value", F.col("value") * 2), out, ["series_id"], "ts", shelves=64)
     back = spark.read.parquet(out)
     return back.groupBy(F.col("series_id").cast("string").alias("series_id"), "year").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 

@@ -189,3 +189,20 @@ def test_stream_keeps_the_first_value_in_file_order(spark, tmp_path):
             stream.ingest_stream(points, p, h, state, trigger={"once": True}).awaitTermination()
         made.append(sorted((r.series_id, r.ts, r.value) for r in ingest.stored(spark, p).collect()))
     assert made[0] == made[1] and [v for _, _, v in made[0]] == [9.0, 8.0]
+
+
+def test_shelves_of_many_series_replace_only_the_series_years_written(spark, tmp_path):
+    p = str(tmp_path / "p")
+
+    def put(ids, years, value):
+        rows = [(f"{i:04d}", datetime(y, m, 1), value) for i in ids for y in years for m in (1, 2)]
+        files.write_series(spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, value double"), p, ["series_id"], "ts", shelves=4)
+
+    put(range(300), (2023, 2024), 1.0)
+    put(range(0, 300, 2), (2024,), 2.0)
+    put(range(300, 303), (2025,), 3.0)
+    got = {(r.series_id, r.ts): r.value for r in spark.read.parquet(p).collect()}
+    want = {(f"{i:04d}", datetime(y, m, 1)): 2.0 if y == 2024 and i % 2 == 0 else 1.0 for i in range(300) for y in (2023, 2024) for m in (1, 2)}
+    want.update({(f"{i:04d}", datetime(2025, m, 1)): 3.0 for i in range(300, 303) for m in (1, 2)})
+    assert got == want and spark.read.parquet(p).count() == len(want)
+    assert all(x.name.startswith("shelf=") for x in (tmp_path / "p").iterdir() if x.is_dir())
