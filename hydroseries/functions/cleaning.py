@@ -63,3 +63,14 @@ def in_box(lat: Column, lon: Column, box: tuple[float, float, float, float]) ->
 
 def same_text(a: Column, b: Column) -> Column:
     return F.lower(a) == F.lower(b)
+
+
+def exact_mean(c: Column, digits: int = 6) -> Column:
+    """Aggregate: the mean of values, taken to ``digits`` decimals each, rounded to as many, halves away from zero.
+
+    Sum and rounding are in whole numbers, so neither the order of the rows nor the nearest double decides a half.
+    """
+    unit = 10**digits
+    total, n = F.sum(F.round(c * unit).cast("long")), F.count(c)
+    size = F.call_function("div", 2 * F.abs(total) + n, F.nullif(2 * n, F.lit(0)))
+    return F.when(total < 0, -size).otherwise(size) / unit

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from hydroseries.functions.cleaning import exact_mean
 from hydroseries.sources.gauge_text import Gauge, parse_gauge_text
 from hydroseries.sources.ingest import ingest
 
@@ -47,11 +48,14 @@ def drop_repeated(stream: DataFrame, keys: list[str], ts: str, delay: str = "2 h
     return watermarked(stream, ts, delay).dropDuplicatesWithinWatermark([*keys, ts])
 
 
-def hourly(stream: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
-    """Hourly mean, maximum and count of a stream that already has a watermark; late rows are left to the batch load."""
+def hourly(stream: DataFrame, keys: list[str], ts: str, value: str, digits: int | None = None) -> DataFrame:
+    """Hourly mean, maximum and count of a stream that already has a watermark; late rows are left to the batch load.
+
+    With ``digits`` the mean is exact and rounded to that many decimals, halves away from zero, in whatever order rows arrive.
+    """
     v = F.col(value)
     agg = stream.groupBy(*keys, F.window(ts, "1 hour").alias("_w")).agg(
-        F.avg(v).alias("mean"), F.max(v).alias("max"), F.count(v).alias("n_obs")
+        (F.avg(v) if digits is None else exact_mean(v, digits)).alias("mean"), F.max(v).alias("max"), F.count(v).alias("n_obs")
     )
     flag = F.when(F.col("n_obs") < 2, 9).otherwise(0)
     return agg.select(*keys, F.col("_w.start").alias(ts), "mean", "max", "n_obs", flag.alias("qc_flag"))

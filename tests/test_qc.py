@@ -153,3 +153,14 @@ def test_rows_without_key_or_time_keep_their_place(spark):
         assert flags == {1: 0, 2: 1, 3: 1, 4: 4, 5: 1, 6: 1}
     copies = {r.n: r.is_copy for r in flag_repeated_times(df, ["k"], "ts", "n").collect()}
     assert copies == {1: False, 2: False, 3: False, 4: True, 5: True, 6: True}
+
+
+def test_exact_mean_does_not_leave_halves_to_the_order_of_rows(spark):
+    from hydroseries.functions.cleaning import exact_mean
+
+    values = [29.27] * 31 + [9.04] + [None]
+    rows = [(k, sign * x if x is not None else None, i) for k, sign in (("up", 1), ("down", -1)) for i, x in enumerate(values)] + [("none", None, 0)]
+    df = spark.createDataFrame(rows, "k string, v double, i int")
+    want = {"up": 28.637813, "down": -28.637813, "none": None}  # 916.41 / 32 = 28.6378125
+    for order in ("i", "v"):
+        assert {r.k: r.m for r in df.orderBy(order).groupBy("k").agg(exact_mean(F.col("v")).alias("m")).collect()} == want
