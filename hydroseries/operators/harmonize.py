@@ -110,11 +110,12 @@ def hourly_spike_filter(
 ) -> DataFrame:
     """Hours far from the median of the surrounding rows or outside the plausible range: flag 7, value NULL.
 
-    A missing value counts as outside and gets 7 as well, unless ``keep_gap_flag``.
+    A missing value counts as outside and gets 7 as well, unless ``keep_gap_flag``. The distance is compared with ``limit`` to six
+    decimals, so that the last bits of a median of two values do not decide.
     """
     near = centred_median(df, keys, ts, value, rows, min_obs, "_mid", pos)
     v = F.col(value)
-    spike = cl.holds(F.abs(v - F.col("_mid")) > limit) | cl.outside_range(v, lo, hi)
+    spike = cl.holds(F.round(F.abs(v - F.col("_mid")), 6) > limit) | cl.outside_range(v, lo, hi)
     if keep_gap_flag:
         spike = spike & v.isNotNull()
     new = {value: F.when(~spike, v), flag: F.when(spike, 7).otherwise(F.col(flag)).cast("int")}

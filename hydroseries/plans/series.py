@@ -184,7 +184,7 @@ def q05_harmonize_many_per_series(spark, sf_dir):
 
 SPIKE = """WITH {h}, m AS (SELECT k, ts, v, n, median(v) OVER w AS mid, count(v) OVER w AS c FROM g
       WINDOW w AS (PARTITION BY k ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)),
-    s AS (SELECT *, coalesce(c >= 5 AND abs(v - mid) > 20, false) OR NOT coalesce(v BETWEEN 5 AND 150, false) AS spike FROM m)
+    s AS (SELECT *, coalesce(c >= 5 AND round(abs(v - mid), 6) > 20, false) OR NOT coalesce(v BETWEEN 5 AND 150, false) AS spike FROM m)
     SELECT k, ts, round(CASE WHEN NOT spike THEN v END, 6) AS v,
            (CASE WHEN {rule} THEN 7 WHEN n IS NULL THEN 9 ELSE 0 END)::INTEGER AS flag FROM s"""
 

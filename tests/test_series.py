@@ -181,3 +181,12 @@ def test_strict_time_counts_hours_whatever_the_blocks(spark, monkeypatch):
         assert all(abs(r["corr"] - 1) < 1e-9 for r in curve)
         seen.append((base, made, [r.lag_h for r in curve]))
     assert seen[0] == seen[1]
+
+
+def test_a_distance_of_just_the_limit_is_no_spike(spark):
+    # The median of 26.06 and 61.92 is 43.99; in doubles the distance to 63.99 comes out above 20.
+    df = hours(spark, [26.06, 26.06, 26.06, 61.92, 61.92, 63.99]).withColumn("f", F.lit(0))
+    out = harmonize.hourly_spike_filter(df, ["k"], "ts", "v", "f", limit=20.0)
+    assert column(out, "f") == [0] * 6
+    above = harmonize.hourly_spike_filter(df, ["k"], "ts", "v", "f", limit=19.99999)
+    assert column(above, "f")[5] == 7
