@@ -31,6 +31,12 @@ def _ordered(order: Sequence[str], descending: bool = False) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
 
 
+def _dealt(df: DataFrame, keys: Sequence[str], chunk: str, tasks: int | None) -> DataFrame:
+    """Rows by series and chunk. A given number of ``tasks`` is kept, where adaptive execution would merge them by their size on disk:
+    hours of a grid are a few bytes each there, but whole rows in every sort of a task."""
+    return df.repartition(tasks, *keys, chunk) if tasks else df.repartition(*keys, chunk)
+
+
 def scan_series(
     df: DataFrame,
     keys: Sequence[str],
@@ -40,15 +46,16 @@ def scan_series(
     next: Mapping[str, Column] | None = None,
     ffill: Mapping[str, Column] | None = None,
     bfill: Mapping[str, Column] | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add columns that look along a series, in time order.
 
     ``prev`` / ``next``: the expression on the row before / after (NULL at the ends).
     ``ffill`` / ``bfill``: its last non-null value at or before / first at or after.
-    ``chunk`` must be non-decreasing along ``order``; ``order`` must be free of ties.
+    ``chunk`` must be non-decreasing along ``order``; ``order`` must be free of ties. ``tasks``: see ``_dealt``.
     """
     keys, order = list(keys), list(order)
-    df = df.repartition(*keys, chunk)
+    df = _dealt(df, keys, chunk, tasks)
     groups = [("p", prev or {}), ("n", next or {}), ("f", ffill or {}), ("b", bfill or {})]
     up = Window.partitionBy(*keys, chunk).orderBy(*_ordered(order))
     down = Window.partitionBy(*keys, chunk).orderBy(*_ordered(order, True))
@@ -96,10 +103,10 @@ def scan_series(
     )
 
 
-def with_position(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], out: str = "pos") -> DataFrame:
+def with_position(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], out: str = "pos", tasks: int | None = None) -> DataFrame:
     """Zero-based row number along each series: row number in the chunk plus rows of earlier chunks."""
     keys, order = list(keys), list(order)
-    df = df.repartition(*keys, chunk)
+    df = _dealt(df, keys, chunk, tasks)
     sizes = df.groupBy(*keys, chunk).agg(F.count("*").alias("_n"))
     run = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*keys, chunk, F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_base"))

@@ -13,6 +13,9 @@ from hydroseries.functions import timeparts as tp
 #: Steps that one row is expanded into; about a year of hours.
 STRETCH = 8192
 
+#: Tasks that the hours of all keys are dealt over; by their size on disk, a few bytes an hour, adaptive execution would make far fewer.
+GRID_TASKS = 128
+
 
 def complete_grid(df: DataFrame, keys: Sequence[str], ts: str, step: str = "interval 1 hour") -> DataFrame:
     """Every step between first and last time of each key; absent steps are rows of NULLs.
@@ -28,7 +31,7 @@ def complete_grid(df: DataFrame, keys: Sequence[str], ts: str, step: str = "inte
     starts = span.select(*keys, "_hi", F.explode(F.sequence("_lo", "_hi", many)).alias("_at")).repartition(*keys, "_at")
     last = F.least(F.col("_hi"), F.col("_at") + F.expr(f"{step} * {STRETCH - 1}"))
     grid = starts.select(*keys, F.explode(F.sequence(F.col("_at"), last, one)).alias(ts))
-    return grid.hint("merge").join(df, [*keys, ts], "left").select(*df.columns)
+    return grid.repartition(GRID_TASKS, *keys, ts).hint("merge").join(df, [*keys, ts], "left").select(*df.columns)
 
 
 def resample_hourly(

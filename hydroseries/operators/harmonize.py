@@ -122,6 +122,10 @@ def hourly_spike_filter(
     return near.select(*[new.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
+#: Tasks that the hours of all series are dealt over.
+SCAN_TASKS = 256
+
+
 def interpolate_linear(
     df: DataFrame, keys: Sequence[str], ts: str, value: str, limit: int = 6, out: str | None = None, pos: str | None = None
 ) -> DataFrame:
@@ -134,10 +138,10 @@ def interpolate_linear(
     work, p = df, pos
     if p is None:
         p = "_pos"
-        work = with_position(df.withColumn("_chunk", tp.day_number(F.col(ts))), keys, "_chunk", [ts], p)
+        work = with_position(df.withColumn("_chunk", tp.day_number(F.col(ts))), keys, "_chunk", [ts], p, tasks=SCAN_TASKS)
     work = work.withColumn("_part", F.floor(F.col(p) / BLOCK_ROWS).cast("long"))
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(p).alias("at"), F.col(value).alias("v")))
-    work = scan_series(work, keys, "_part", [p], ffill={"_a": known}, bfill={"_b": known})
+    work = scan_series(work, keys, "_part", [p], ffill={"_a": known}, bfill={"_b": known}, tasks=SCAN_TASKS)
     a, b, i = F.col("_a"), F.col("_b"), F.col(p)
     line = a["v"] + (b["v"] - a["v"]) * (i - a["at"]) / F.nullif(b["at"] - a["at"], F.lit(0))
     filled = (

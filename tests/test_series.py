@@ -190,3 +190,11 @@ def test_a_distance_of_just_the_limit_is_no_spike(spark):
     assert column(out, "f") == [0] * 6
     above = harmonize.hourly_spike_filter(df, ["k"], "ts", "v", "f", limit=19.99999)
     assert column(above, "f")[5] == 7
+
+
+def test_interpolation_keeps_its_tasks_apart(spark):
+    df = spark.range(64).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("h")).select(
+        "k", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, h)").alias("ts"), F.when(F.col("h") % 4 == 0, F.col("h").cast("double")).alias("v"))
+    out = harmonize.interpolate_linear(df, ["k"], "ts", "v").withColumn("_p", F.spark_partition_id()).collect()
+    assert {(r.k, r.ts.hour): r.v for r in out} == {(k, h): float(min(h, 8)) for k in range(64) for h in range(10)}
+    assert len({r._p for r in out}) > 32
