@@ -16,11 +16,11 @@ pts AS (SELECT event_id, event_type AS k, date_trunc('hour', ts) AS ts,
                CASE WHEN value < 1 THEN -999.0::DOUBLE ELSE floor(value / 50) * 50 END AS v FROM events)"""
 
 
-def gauge_points(spark, sf_dir):
+def gauge_points(spark, sf_dir, key="event_type"):
     """Coarse readings with sentinels and repeated times, out of the whole ``events`` table."""
     return table(spark, sf_dir, "events").select(
         "event_id",
-        F.col("event_type").alias("k"),
+        F.col(key).alias("k"),
         F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"),
         F.when(F.col("value") < 1, -999.0).otherwise((F.floor(F.col("value") / 50) * 50).cast("double")).alias("v"),
     )
@@ -88,8 +88,7 @@ def q02_resample_hourly(spark, sf_dir):
     ).replace("event_type AS k", "user_id AS k"),
 )
 def q01_point_qc_whole_series(spark, sf_dir):
-    pts = table(spark, sf_dir, "events").select("event_id", "user_id").join(gauge_points(spark, sf_dir), "event_id")
-    flags = qc.point_qc(pts.drop("k"), ["user_id"], "ts", "v", "event_id", calibration="series")
+    flags = qc.point_qc(gauge_points(spark, sf_dir, "user_id"), ["k"], "ts", "v", "event_id", calibration="series")
     return flags.select("event_id", F.col("qc_flag").cast("int").alias("qc_flag"))
 
 
