@@ -66,3 +66,15 @@ def test_grid_asked_for_values_only_is_not_broadcast(spark):
     out = complete_grid(df, ["k"], "ts").where(F.col("v").isNotNull())
     assert sorted((r.k, r.ts, r.v) for r in out.collect()) == sorted((r.k, r.ts, r.v) for r in df.collect())
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_query_for_present_hours_never_broadcasts_the_grid(spark, tmp_path):
+    from hydroseries.plans import load_all
+    from hydroseries.plans.registry import QUERIES
+
+    load_all()
+    rows = [(i, START + dt.timedelta(hours=h, minutes=i), u, "view", float(i)) for i, (u, h) in enumerate([(1, 0), (1, 0), (1, 5), (2, 3), (2, 90), (2, 90)])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES["p10_drop_missing"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == [(1, START, 0.5), (2, START + dt.timedelta(hours=90), 4.5)]
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
