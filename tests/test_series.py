@@ -198,3 +198,9 @@ def test_interpolation_keeps_its_tasks_apart(spark):
     out = harmonize.interpolate_linear(df, ["k"], "ts", "v").withColumn("_p", F.spark_partition_id()).collect()
     assert {(r.k, r.ts.hour): r.v for r in out} == {(k, h): float(min(h, 8)) for k in range(64) for h in range(10)}
     assert len({r._p for r in out}) > 32
+
+
+def test_a_distance_of_just_the_limit_is_no_spike_where_gaps_keep_their_flag(spark):
+    df = hours(spark, [26.06, 26.06, None, 26.06, 61.92, 61.92, 63.99]).withColumn("f", F.when(F.col("v").isNull(), 9).otherwise(0))
+    out = harmonize.hourly_spike_filter(df, ["k"], "ts", "v", "f", limit=20.0, keep_gap_flag=True)
+    assert column(out, "f") == [0, 0, 9, 0, 0, 0, 0] and column(out, "v")[6] == 63.99
