@@ -308,3 +308,20 @@ def test_points_of_a_cell_with_few_times_are_dealt_over_tasks(spark):
     assert held[0] == 200_000 and held[1] < 20_000
     seen = out.groupBy("ts", "mm", "grid_mean").agg(F.countDistinct("k").alias("k"), F.count("*").alias("n")).collect()
     assert sorted(map(tuple, seen)) == [(h, 1.25 + h, 1.25 + h, 100_000, 100_000) for h in range(2)]
+
+
+def test_world_links_grow_with_places_not_with_rows(spark, tmp_path):
+    """Keys repeat their coordinates: every 9,797 suppliers, every 1,009,000 customers. Supplier 0 is at the south pole."""
+    from hydroseries.plans import load_all
+    from hydroseries.plans.registry import QUERIES
+
+    load_all()
+    copies = 40
+    s, c = spark.range(copies), spark.range(copies)
+    s.select((F.col("id") * 9_797).alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    c.select((F.col("id") * 1_009_000).alias("c_custkey"), F.lit(1.0).alias("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = QUERIES["j07_within_km_world"](spark, str(tmp_path)).collect()
+    assert [(r.key, r.place, r.dist_km) for r in rows if r.kind == "link"] == [(0, 0, 0.0)]
+    assert sorted((r.key, r.place) for r in rows if r.kind == "left") == [(i * 9_797, 0) for i in range(copies)]
+    assert sorted((r.key, r.place) for r in rows if r.kind == "right") == [(i * 1_009_000, 0) for i in range(copies)]
+    assert len(rows) == 1 + 2 * copies
