@@ -21,14 +21,15 @@ def complete_grid(df: DataFrame, keys: Sequence[str], ts: str, step: str = "inte
     """Every step between first and last time of each key; absent steps are rows of NULLs.
 
     Steps are made in two levels: first the starts of stretches of ``STRETCH`` steps, which are dealt out, then the steps of each
-    stretch. So a key with any number of steps is the work of many tasks, and no row holds more than a stretch of them.
+    stretch. So a key with any number of steps is the work of many tasks, and no row holds more than a stretch of them. The starts of
+    all keys are a few bytes each: dealt out by size, one task would make every step.
     The grid is estimated by the few starts it is made of; a caller that turns the join into an inner one (by asking for values) would
     have all of it broadcast, so both sides are sorted and merged.
     """
     keys = list(keys)
     span = df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
     one, many = F.expr(step), F.expr(f"{step} * {STRETCH}")
-    starts = span.select(*keys, "_hi", F.explode(F.sequence("_lo", "_hi", many)).alias("_at")).repartition(*keys, "_at")
+    starts = span.select(*keys, "_hi", F.explode(F.sequence("_lo", "_hi", many)).alias("_at")).repartition(GRID_TASKS, *keys, "_at")
     last = F.least(F.col("_hi"), F.col("_at") + F.expr(f"{step} * {STRETCH - 1}"))
     grid = starts.select(*keys, F.explode(F.sequence(F.col("_at"), last, one)).alias(ts))
     return grid.repartition(GRID_TASKS, *keys, ts).hint("merge").join(df, [*keys, ts], "left").select(*df.columns)

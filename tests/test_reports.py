@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hydroseries.operators.grid import complete_grid
+from hydroseries.operators.grid import GRID_TASKS, complete_grid
 from hydroseries.operators.report import longest_missing, quality_report
 
 START = dt.datetime(2024, 1, 1)
@@ -78,3 +78,20 @@ def test_query_for_present_hours_never_broadcasts_the_grid(spark, tmp_path):
     out = QUERIES["p10_drop_missing"](spark, str(tmp_path))
     assert sorted(map(tuple, out.collect())) == [(1, START, 0.5), (2, START + dt.timedelta(hours=90), 4.5)]
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grids_of_many_short_keys_are_made_by_many_tasks(spark):
+    """A key here is one start of a few bytes, of which adaptive execution would give all to one task."""
+    df = spark.range(2_000).select(F.col("id").alias("k"), F.explode(F.array(F.lit(0), F.lit(50))).alias("h"))
+    df = df.select("k", (F.lit(START).cast("timestamp_ntz") + F.make_interval(hours="h")).cast("timestamp_ntz").alias("ts"), F.lit(1).alias("v"))
+    sc = spark.sparkContext
+    sc.setJobGroup("short keys", "")
+    try:
+        rows = complete_grid(df, ["k"], "ts").collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(rows) == 2_000 * 51 and len({(r.k, r.ts) for r in rows}) == len(rows) and sum(r.v or 0 for r in rows) == 4_000
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("short keys") for s in tracker.getJobInfo(j).stageIds}
+    done = [tracker.getStageInfo(s).numCompletedTasks for s in stages if tracker.getStageInfo(s)]
+    assert sum(n >= GRID_TASKS for n in done) >= 2  # the steps, and their join
